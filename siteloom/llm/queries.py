@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, sharding, warc
+from . import chat_format, exact_dedup, sharding, substring_dedup, warc
 from .common import table
 
 N_SHARDS = 40
@@ -30,7 +30,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op1_sharding": op1_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
