@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, sharding, substring_dedup, warc
+from . import chat_format, exact_dedup, minhash_dedup, sharding, substring_dedup, warc
 from .common import table
 
 N_SHARDS = 40
@@ -34,7 +34,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op1_sharding": op1_sharding,
     "op6_exact_dedup": op6_exact_dedup,
