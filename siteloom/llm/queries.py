@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, minhash_dedup, sharding, substring_dedup, warc
+from . import chat_format, exact_dedup, minhash_dedup, mixing, sharding, substring_dedup, warc
 from .common import table
 
 N_SHARDS = 40
@@ -38,7 +38,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op1_sharding": op1_sharding,
