@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, minhash_dedup, mixing, sharding, substring_dedup, warc
+from . import chat_format, exact_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, warc
 from .common import table
 
 N_SHARDS = 40
@@ -42,7 +42,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op3_mixing": op3_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
