@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, warc
+from . import chat_format, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, warc
 from .common import table
 
 N_SHARDS = 40
@@ -47,7 +47,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op3_mixing": op3_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
