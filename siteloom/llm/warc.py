@@ -20,6 +20,7 @@ from .common import checkpointed, scratch_path
 #: Payloads from this many bytes on are revisited; smaller ones cost less than the revisit record.
 REVISIT_FROM = 1000
 CRLF = "\r\n"
+_NULL_ID = -(1 << 63)
 
 
 def _payload(col: str) -> Column:
@@ -70,10 +71,13 @@ def write_archive(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z
         "page_id", "record_type", "address",
         header_block(F.col("record_type"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("n"), refers, date).alias("header"),
     ).write.parquet(f"{path}/records")
-    # A payload is stored by the row that holds it; the digest's own shuffle drops what equal page_ids would store twice.
-    holders = groups.select(F.col("holder"), F.col("address").alias("_a"))
-    kept = pages.select("page_id", p.alias("payload")).join(holders, F.col("page_id").eqNullSafe(F.col("holder")) & (F.sha2("payload", 256) == F.col("_a")), "inner")
-    kept.select(F.col("_a").alias("address"), "payload").dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    # A payload is stored by the row that holds it. What rows of equal page_id would store twice is dropped by the join's own keys,
+    # so payloads are shuffled once.
+    row = F.coalesce(F.col("page_id"), F.lit(_NULL_ID))
+    holders = groups.select(F.coalesce(F.col("holder"), F.lit(_NULL_ID)).alias("_row"), "address")
+    bodies = pages.select(row.alias("_row"), F.sha2(p, 256).alias("address"), p.alias("payload"))
+    kept = bodies.join(holders, ["_row", "address"]).dropDuplicates(["_row", "address"])
+    kept.select("address", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
