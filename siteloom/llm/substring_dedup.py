@@ -3,7 +3,7 @@
 A window is WINDOW consecutive words. {0, 1, 3, 9} is a perfect difference cover modulo 13: for any two positions i and j some
 k < 13 has both i + k and j + k in the cover, so two equal windows share an anchor of WINDOW - 13 + 1 words that starts at cover
 positions of both. Only anchors at cover positions are hashed and shuffled. Where an anchor's hash occurs twice, the windows
-around it are extended to their full length and compared by 128 bits; all but a sequence's earliest are covered.
+around it are extended to their full length and compared by 95 bits of hash; all but a sequence's earliest are covered.
 
 No pairs are made: both rounds sort by hash and compare neighbours as they stream by, with no state but the last row. A hash
 that many rows share is thinned out before the shuffle: a piece of text sends two rows per anchor at most (a third one is known to
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, normalised
-from .wordhash import Family, Texts, chunks, mix
+from .wordhash import Family, Texts, U, chunks, mix
 
 WINDOW = 20
 PERIOD = 13
@@ -45,9 +45,18 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Texts,
             yield ids[lo:hi], Texts(part), batch, lo, hi
 
 
+def _marked(pos: np.ndarray, known: np.ndarray) -> pa.Array:
+    """pos, or -1 - pos where the row is known: a column of its own would cost a word in each shuffled row."""
+    return pa.array(np.where(known, -1 - pos, pos).astype(np.int32))
+
+
+def _unmarked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(pos < 0, -1 - pos, pos), pos < 0
+
+
 def _spread(h: np.ndarray, known: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """h, but a hash of the row's own place where the row is known: such rows only pass through the shuffle, evenly."""
-    return np.where(known, mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), h).view(np.int64)
+    return np.where(known, mix(ids.view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)), h).view(np.int64)
 
 
 def _rank(order: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -80,19 +89,19 @@ def _anchors(window: int):
             if len(frequent) < REMEMBERED:
                 frequent = np.union1d(frequent, h[rank == 1])[:REMEMBERED]
             k = ids[t.doc[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(_spread(h, known, k, pos)), pa.array(k), pa.array(pos.astype(np.int32)), pa.array(known)], names=["h", "_k", "pos", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(h, known, k, pos)), pa.array(k), _marked(pos, known)], names=["h", "_k", "pos"])
 
     return run
 
 
 def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by h, those that are known or whose h another row has; the row before is all that is held."""
-    names = ("h", "_k", "pos", "known")
     last: list[np.ndarray] | None = None
     for batch in it:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if not len(cols[0]):
+        h, k, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "_k", "pos"))
+        if not len(h):
             continue
+        cols = [h, k, *_unmarked(pos)]
         if last is not None:
             cols = [np.append(a, b) for a, b in zip(last, cols, strict=True)]
         h, k, pos, known = cols
@@ -132,10 +141,13 @@ def _windows(window: int):
             k, p = ids[t.doc[at]], at - t.first[t.doc[at]]
             order = np.lexsort((p, k, h2, h1))
             s1, s2 = h1[order], h2[order]
-            rank = _rank(order, np.append(False, (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1]))) if len(s1) else np.zeros(0, dtype=np.int64)
+            new = np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))[: len(s1)]
+            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            later = np.zeros(len(at), dtype=bool)
+            later[order] = (k[order] != k[lead]) | (p[order] != p[lead])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_spread(h1, rank > 0, k, p)), pa.array(h2.view(np.int64)), pa.array(k), pa.array(p.astype(np.int32)), pa.array(rank > 0)],
-                names=["h", "g", "_k", "pos", "known"],
+                [pa.array(_spread(h1, later, k, p)), pa.array(np.where(later, 0, h2 >> U(33)).astype(np.int32)), pa.array(k), _marked(p, later)],
+                names=["h", "g", "_k", "pos"],
             )
 
     return run
@@ -145,9 +157,10 @@ def _later(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (h, g, _k, pos), the known ones and all but each sequence's earliest (and what equals it in _k and pos)."""
     lead = None
     for batch in it:
-        h, g, k, pos, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "_k", "pos", "known"))
+        h, g, k, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "_k", "pos"))
         if not len(h):
             continue
+        pos, known = _unmarked(pos)
         new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
         if lead is not None and (h[0], g[0]) == lead[:2]:
             new[0] = False
@@ -196,10 +209,10 @@ def _plan(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     copies = checkpointed(words.join(firsts, "_sha").filter("_k > _min").select("_k").distinct().withColumn("copy", F.lit(True)))
     # One shuffle of the texts by id serves all three joins below, as their exchanges are equal.
     own = base.join(copies, "_k", "left_anti")
-    found = own.mapInArrow(_anchors(window), "h long, _k long, pos int, known boolean")
+    found = own.mapInArrow(_anchors(window), "h long, _k long, pos int")
     again = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats, "_k long, pos int")
     marks = again.groupBy("_k").agg(F.collect_list("pos").alias("marks"))
-    seen = base.join(marks, "_k").mapInArrow(_windows(window), "h long, g long, _k long, pos int, known boolean")
+    seen = base.join(marks, "_k").mapInArrow(_windows(window), "h long, g int, _k long, pos int")
     late = seen.repartition("h").sortWithinPartitions("h", "g", "_k", "pos").mapInArrow(_later, "_k long, pos int")
     covered = late.groupBy("_k").agg(F.collect_list("pos").alias("marks"))
     return base.join(covered, "_k", "left").join(copies, "_k", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))

@@ -41,7 +41,7 @@ def rows():
         for _ in range(rng.randint(1, 6)):
             parts += rng.choice(shared)[rng.randint(0, 3) :] if rng.random() < 0.5 else text(rng.randint(0, 40))
         out.append((k, rng.choice([" ", "\n", " \t"]).join(parts)))
-    out += [(200, out[3][1]), (201, out[3][1].replace(" ", "  ")), (202, "same " * 100), (203, "same " * 30), (204, None), (205, ""), (206, " \n "), (207, "a"), (207, "a")]
+    out += [(200, out[3][1]), (201, out[3][1].replace(" ", "  ")), (202, "same " * 100), (203, "same " * 30), (204, None), (205, ""), (206, " \n "), (207, "a"), (207, "a"), (208, out[11][1] + " x" * 9), (208, out[11][1] + " x" * 9)]
     return out + [(300 + k, out[7][1] + " end") for k in range(60)] + [(None, out[9][1]), (400, " ".join(text(30000)) + " " + out[9][1])]
 
 
