@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, warc
+from . import chat_format, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, sentencepiece_lattice, sharding, substring_dedup, warc
 from .common import table
 
 N_SHARDS = 40
@@ -51,7 +51,12 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op3_mixing": op3_mixing,
