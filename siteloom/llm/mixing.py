@@ -155,3 +155,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ends = known.select(F.col("source").alias("_s"), "source_size", "target", "_sure")
     out = drawn.join(side(ends), F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", (F.col("_sure") + F.col("p").cast("long")).cast("long"))
     return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """The rows that the mix takes, each as often as it takes it, with all columns of df.
+
+    Rows that agree in id, source and size share a list of copies, which they take from in the order of their texts' hashes.
+    """
+    mixed = mix(df, id_col, text_col, source_col, block)
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__a"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__b"), F.col(source_col).isNull().alias("__c")]
+    names = ["__a", "__b", "__c", "__d"]
+    taken = mixed.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("__a"), F.coalesce("source", F.lit("")).alias("__b"), F.col("source").isNull().alias("__c"), F.col("size").alias("__d"), "copies")
+    lists = checkpointed(taken.groupBy(*names).agg(F.sort_array(F.collect_list("copies")).alias("__n")))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(text_col)))
+    rows = df.select("*", *key, n_words(text_col).alias("__d")).join(lists, names).withColumn("__i", place)
+    copies = F.get(F.col("__n"), F.col("__i") - 1).cast("int")
+    return rows.select(*[F.col(c) for c in df.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")

@@ -56,6 +56,21 @@ def test_targets_and_mix(spark):
     assert sorted((r.doc_id, r.size, r.taken) for r in again) == sorted((r.doc_id, r.size, r.taken) for r in got)
 
 
+def test_draw_repeats_rows(spark):
+    data = corpus()
+    df = spark.createDataFrame([(*r, 0) for r in data], SCHEMA)
+    want = {}
+    for r in mixing.mix(df, block=128).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.copies
+    rows = mixing.draw(df, block=128)
+    assert rows.columns == df.columns
+    got = {}
+    for r in rows.collect():
+        k = r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_flight_keeps_totals_and_chances():
     rng = np.random.default_rng(4)
     size, p = rng.integers(1, 900, 60).astype(float), np.full(60, 0.3)
