@@ -32,11 +32,8 @@ def surrogate(*columns: str) -> Column:
 
 def exactly_one(df: DataFrame, condition: Column) -> DataFrame:
     """FL-1: the row that fits; raises when it is read if there isn't exactly one."""
-    found = df.filter(condition)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    checked = found.limit(2).withColumn("_n", n)
-    empty = found.agg(F.assert_true(F.count(F.lit(1)) > 0, "no row fits").alias("_e"))
-    return checked.filter(F.assert_true(F.col("_n") == 1, "more than one row fits").isNull()).crossJoin(F.broadcast(empty)).drop("_n", "_e")
+    found = df.filter(condition).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
+    return found.filter(F.assert_true(F.col("_n") == 1, "not exactly one row fits").isNull()).select("_row.*")
 
 
 class Store:
@@ -76,7 +73,7 @@ class Store:
         for t in times:
             rows = rows.filter(F.col(f"head.{t}").isNull() | (F.col(f"head.{t}") == "") | F.col(t).isNotNull())
         head = {"revisit": "revisit_after", "title": "title", "description": "description", "author": "author", "section": "section", "tag": "article_tag", "keywords": "keywords"}
-        self.add("webpages", rows.select(surrogate("url", "content").alias("_c"), "*").select(
+        self.add("webpages", rows.select(
             F.xxhash64("url", now).alias("id"), "website_id", "url", F.coalesce("crawl_created", now).alias("crawl_created"), now.alias("crawl_modified"), "content", *times,
             *[F.col(f"head.{b}").alias(a) for a, b in head.items()],
         ))
