@@ -143,7 +143,7 @@ def page_datetimes(pages: DataFrame, html: str = "html") -> DataFrame:
     first = F.get(F.col("nodes"), F.lit(0))
     tagged = F.coalesce(F.try_element_at(first["attrs"], F.lit("datetime")), first["text"])
     found = F.when(F.size("nodes") > 0, F.array(tagged)).otherwise(datetime_strings(F.col(html)))
-    rows = df.drop("nodes").select(*[c for c in pages.columns if c != html], F.posexplode(found).alias("pos", "raw"))
+    rows = df.select(*[c for c in pages.columns if c != html], F.posexplode(found).alias("pos", "raw"))
     return rows.withColumn("value", parse_datetime(F.col("raw"), fuzzy=True)).filter("value is not null")
 
 

@@ -122,8 +122,8 @@ def html_sitemap(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def rss_items(xml: Column) -> Column:
     """SRC-11: array<struct<links,modified_time>> of the items of a feed, the build date or else the publishing date."""
-    feed = F.from_xml(xml, F.lit("item array<struct<link:string,lastBuildDate:string,pubDate:string>>"), {"rowTag": "channel"})
-    return F.transform(feed["item"], lambda i: F.struct(i["link"].alias("links"), F.coalesce(F.nullif(i["lastBuildDate"], F.lit("")), i["pubDate"]).alias("modified_time")))
+    feed = F.from_xml(xml, F.lit("channel struct<item:array<struct<link:string,lastBuildDate:string,pubDate:string>>>"))
+    return F.transform(feed["channel"]["item"], lambda i: F.struct(i["link"].alias("links"), F.coalesce(F.nullif(i["lastBuildDate"], F.lit("")), i["pubDate"]).alias("modified_time")))
 
 
 def concat(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -38,7 +38,11 @@ def crawl_hops(spark: SparkSession, path: str, links: DataFrame, settings: Setti
         routed = frontier.route(frontier.unvisited(found, visited), sites)
         depth = F.coalesce("depth", F.col("from_depth") + 1)
         rows = routed.select(F.coalesce("base", parse_base(F.col("url"))).alias("base"), depth.alias("depth"), "url", F.xxhash64("url").alias("seq"))
-        rows.filter((F.col("depth") <= settings.crawl_depth) & F.col("base").isNotNull()).write.mode("append").parquet(f"{path}/frontier")
+        rows = rows.filter((F.col("depth") <= settings.crawl_depth) & F.col("base").isNotNull()).persist()
+        # A batch without rows would write an empty file, which is a new file to read: the stream would never come to rest.
+        if not rows.isEmpty():
+            rows.write.mode("append").parquet(f"{path}/frontier")
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(hop).option("checkpointLocation", f"{path}/checkpoint").start()
 

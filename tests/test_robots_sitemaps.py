@@ -78,7 +78,7 @@ def test_other_readers(spark):
     got = expand(spark, ["http://n.nl/s.txt", "http://n.nl/u.xml", "http://n.nl/bad.gz", "http://n.nl/bad.xml", "http://n.nl/missing.xml"], files)
     assert [x[2] for x in got] == ["http://n.nl/aa", "http://n.nl/bb", "q"]
     df = spark.createDataFrame([("/sitemapindex/", "http://a.nl/sitemapxyz")], "u string, b string")
-    assert df.select(sitemaps.read_address(F.col("u"), F.col("b")).alias("r")).first().r == "http://a.nlsitemapindex"
+    assert df.select(sitemaps.read_address(F.col("u"), F.col("b")).alias("r")).first().r == "http://a.nl/sitemapindex"
 
 
 def test_records_leak():
