@@ -6,13 +6,16 @@ built in the same way over the mixed hashes of its words. All are functions of t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed at once; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -89,6 +92,13 @@ class Texts:
         return w[w + k <= self.first[self.doc + 1]]
 
 
+def give_back() -> None:
+    """At a task's end: return freed memory to the system, as Python workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(texts: list, limit: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from, to, texts in UTF-8) in pieces of about limit bytes; a null text is empty."""
     at, size, part = 0, 0, []
