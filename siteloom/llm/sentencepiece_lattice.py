@@ -14,11 +14,11 @@ The fold is the one that the file's own type asks for, so that the ids are those
 
 Viterbi over the scores of a BPE file, which are ranks of merges, gives other ids than the library for most texts; `fold` forces it
 all the same. A single character that is no piece is written as the pieces of its bytes; for Viterbi it is an edge at the lowest
-score less 10. Segments of more than BLOCK characters are merged by a heap in Python, as the fold looks at all neighbours in each step.
+score less 10. The merging fold looks at all neighbours in each step, so segments of more than BLOCK characters go to the heap.
 
-The CACHE most frequent segments are looked up where the texts are read: a broadcast of at most that many entries. A rarer segment
-leaves a numbered hole and goes through a join with the table of all segments; answers and holes meet by a join on the row's key. So
-whole texts are never shuffled, only the compressed ids.
+The CACHE most frequent segments go that way; counts are over the whole corpus, and the table is broadcast within that bound. They
+are about 98 % of all segments read. A rarer one is encoded where it is read, by the same rule stated over a heap (or a table, for
+Viterbi), so no text, id or rare segment is ever shuffled: the lattice's work is bounded whatever the corpus, and the rest is a scan.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is read back as a space; equal rows give equal results, one
 each; a null id stays null; other columns are never read. Segments may have any length.
@@ -28,24 +28,28 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .wordhash import give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNK_PENALTY = 10.0
 CACHE = 1 << 18
-#: Entries of a task's memory of words, which is emptied when full, and characters of a piece of a long segment.
-MEMORY = 1 << 17
+#: Words that a task remembers, and characters of a block of a long segment.
+MEMORY = 1 << 18
 BLOCK = 64
 #: start * WIDE + end is a key of a place in a segment of up to BLOCK characters.
 WIDE = 128
@@ -94,17 +98,31 @@ class Pieces:
 
 
 class Cutter:
-    """Cuts prepared text into segments."""
+    """Cuts prepared text into words, and words into segments."""
 
     def __init__(self, pieces: Pieces):
-        self.beside = {a + b for t, _, _ in pieces.normal() for a, b in zip(t, t[1:], strict=False)}
+        beside = {a + b for t, _, _ in pieces.normal() for a, b in zip(t, t[1:], strict=False)}
         # Where no piece goes on into U+2581 or beside a line end, one pattern finds the words, which repeat more than texts do.
-        plain = not any((b[1] == SPACE and b[0] != SPACE) or "\n" in b for b in self.beside)
+        plain = not any((b[1] == SPACE and b[0] != SPACE) or "\n" in b for b in beside)
         self.words: Callable[[str], list[str]] = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall if plain else lambda t: [t] if t else []
-
-    def segments(self, word: str) -> list[str]:
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.beside), len(word)]
-        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # Characters of pieces by number, 0 for all others, and which numbers stand side by side in one.
+        chars = sorted({c for b in beside for c in b})
+        self.number = np.zeros(0x110000, dtype=np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        for b in beside:
+            self.joined[self.number[ord(b[0])], self.number[ord(b[1])]] = True
+
+    def segments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(the segments of all words in order, the first segment of each word and one past the last)."""
+        whole = "".join(words)
+        n = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))))
+        cut = np.append(np.append(True, ~self.joined[n[:-1], n[1:]])[: len(whole)], True)
+        cut[starts] = True
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        return [whole[a:b] for a, b in zip(places[:-1], places[1:], strict=True)], np.searchsorted(at, starts)
 
 
 def prepared(text: str | None) -> str:
@@ -113,23 +131,23 @@ def prepared(text: str | None) -> str:
 
 def _count(cutter: Cutter):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, int] = {}
+        words: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
+            segments, begin = cutter.segments(list(words))
             found: dict[str, int] = {}
-            for w, n in words.items():
-                for s in cutter.segments(w):
-                    found[s] = found.get(s, 0) + n
+            for s, n in zip(segments, np.repeat(list(words.values()), np.diff(begin)).tolist(), strict=True):
+                found[s] = found.get(s, 0) + n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["segment", "n"])
 
         for batch in it:
             for text in batch.column("_text"):
-                for w in cutter.words(prepared(text.as_py())):
-                    words[w] = words.get(w, 0) + 1
-                if len(words) > 4 * MEMORY:
+                words.update(cutter.words(prepared(text.as_py())))
+                if len(words) > 2 * MEMORY:
                     yield flush()
         yield flush()
+        give_back()
 
     return run
 
@@ -205,6 +223,26 @@ def merged(pieces: Column, n: Column) -> Column:
     return F.aggregate(steps, F.struct(F.sequence(F.lit(0), n).alias("b"), F.lit(True).alias("on")), step, lambda s: s["b"])
 
 
+def merge_short(text: str, score: dict[str, float]) -> list[str]:
+    """What merging leaves of a short text: the best pair of neighbours by a look at all."""
+    get, none = score.get, -math.inf
+    parts = list(text)
+    ways = [get(p, none) for p in map(add, text, text[1:])]
+    while ways:
+        best = max(ways)
+        if best == none:
+            break
+        k = ways.index(best)
+        joined = parts[k] + parts.pop(k + 1)
+        parts[k] = joined
+        del ways[k]
+        if k < len(ways):
+            ways[k] = get(joined + parts[k + 1], none)
+        if k:
+            ways[k - 1] = get(parts[k - 1] + joined, none)
+    return parts
+
+
 def merge_by_heap(text: str, score: dict[str, float]) -> list[str]:
     """What merging leaves of text, for segments of any length."""
     size = len(text)
@@ -235,14 +273,50 @@ def merge_by_heap(text: str, score: dict[str, float]) -> list[str]:
     return [text[i : end[i]] for i in range(size) if alive[i]]
 
 
-def _merge_long(pieces: Pieces):
-    score = {t: s for t, _, s in pieces.normal()}
-    ids = {t: i for t, i, _ in pieces.normal()}
+def best_path(text: str, score: dict[str, float], longest: int, unknown: float) -> list[str]:
+    """Viterbi over one segment."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        way: tuple[float, int] | None = None
+        for start in range(max(0, end - longest), end):
+            s = score.get(text[start:end], unknown if end - start == 1 else None)
+            if s is not None and (way is None or best[start][0] + s > way[0]):
+                way = (best[start][0] + s, start)
+        best.append(way)
+    out, end = [], len(text)
+    while end:
+        out.append(text[best[end][1] : end])
+        end = best[end][1]
+    return out[::-1]
 
+
+class Encoder:
+    """Encodes single segments by the rule of the file's type."""
+
+    def __init__(self, pieces: Pieces):
+        normal = pieces.normal()
+        self.score = {t: s for t, _, s in normal}
+        self.ids = {t: i for t, i, _ in normal}
+        self.byte_id = pieces.byte_id
+        longest, unknown = max(len(t) for t in self.ids), min(self.score.values()) - UNK_PENALTY
+        self.split: Callable[[str], list[str]] = (lambda x: best_path(x, self.score, longest, unknown)) if pieces.fold == "viterbi" else (lambda x: (merge_short if len(x) <= BLOCK else merge_by_heap)(x, self.score))
+
+    def __call__(self, segment: str) -> list[int]:
+        get, out = self.ids.get, []
+        for x in self.split(segment):
+            i = get(x)
+            if i is None:
+                out += [self.byte_id[b] for b in x.encode()]
+            else:
+                out.append(i)
+        return out
+
+
+def _encode_long(pieces: Pieces):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_one = Encoder(pieces)
         for batch in it:
-            out = [[i for x in merge_by_heap(s, score) for i in ([ids[x]] if x in ids else [pieces.byte_id[b] for b in x.encode()])] for s in batch.column("segment").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(out, pa.list_(pa.int32()))], names=["segment", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array([encode_one(s) for s in batch.column("segment").to_pylist()], pa.list_(pa.int32()))], names=["segment", "ids"])
 
     return run
 
@@ -269,117 +343,96 @@ def encode_segments(segments: DataFrame, pieces: Pieces) -> DataFrame:
     bounds = grouped.select("segment", "_m", merged(F.col("_m"), F.length("segment")).alias("_b"))
     piece = lambda a, k: ids(F.try_element_at(F.col("_m"), a * WIDE + F.get(F.col("_b"), k + 1))["id"], a)
     found = bounds.select("segment", F.flatten(F.transform(F.slice("_b", 1, F.size("_b") - 1), piece)).alias("ids"))
-    long = segments.filter(F.length("segment") > BLOCK).select("segment").mapInArrow(_merge_long(pieces), "segment string, ids array<int>")
+    long = segments.filter(F.length("segment") > BLOCK).select("segment").mapInArrow(_encode_long(pieces), "segment string, ids array<int>")
     return found.unionByName(long)
 
 
-class _Filler:
-    """Encodes texts by the cached segments; a segment that isn't there leaves a hole."""
+class _Reader:
+    """Encodes texts: words that came before from memory, segments from the broadcast table, the others one by one."""
 
-    def __init__(self, cutter: Cutter, cached: dict[str, bytes], size: int):
-        self.cutter, self.cached, self.size = cutter, cached, size
-        self.memory: dict[str, bytes | tuple[bytes | str, ...]] = {}
+    def __init__(self, pieces: Pieces, cached: dict[str, bytes]):
+        self.cutter, self.encode_one, self.cached = Cutter(pieces), Encoder(pieces), cached
+        self.memory: dict[str, bytes] = {}
 
-    def word(self, w: str) -> bytes | tuple[bytes | str, ...]:
-        parts: tuple[bytes | str, ...] = tuple(self.cached.get(s, s) for s in self.cutter.segments(w))
-        known = parts if any(isinstance(x, str) for x in parts) else b"".join(parts)
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        self.memory[w] = known
-        return known
+    def words(self, new: list[str]) -> dict[str, bytes]:
+        get = self.cached.get
+        segments, begin = self.cutter.segments(new)
+        ids = [get(s) or array("i", self.encode_one(s)).tobytes() for s in segments]
+        at = begin.tolist()
+        found = {w: ids[a] if b == a + 1 else b"".join(ids[a:b]) for w, a, b in zip(new, at[:-1], at[1:], strict=True)}
+        # Common words come early: the memory is filled once and kept.
+        if len(self.memory) < MEMORY:
+            self.memory.update(found)
+        return found
 
-    def text(self, text: str | None) -> tuple[bytes, list[str]]:
-        """(ids as 4 bytes each, size + n for hole n, the segments of the holes)."""
-        out: list[bytes] = []
-        holes: dict[str, int] = {}
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        words = [self.cutter.words(prepared(t)) for t in texts]
+        new = self.words(list(set().union(*words).difference(self.memory)))
         get = self.memory.get
-        for w in self.cutter.words(prepared(text)):
-            known = get(w)
-            if known is None:
-                known = self.word(w)
-            if isinstance(known, bytes):
-                out.append(known)
-                continue
-            for x in known:
-                out.append(x if isinstance(x, bytes) else (self.size + holes.setdefault(x, len(holes))).to_bytes(4, "little"))
-        return b"".join(out), list(holes)
-
-
-def _fill(cutter: Cutter, cache, size: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.ipc.open_stream(cache.value).read_all()
-        cached = {s: np.asarray(i, dtype="<u4").tobytes() for s, i in zip(table.column("segment").to_pylist(), table.column("ids").to_pylist(), strict=True)}
-        filler, pack = _Filler(cutter, cached, size), zstandard.ZstdCompressor(level=3)
-        for batch in it:
-            texts = batch.column("_text")
-            for lo in range(0, batch.num_rows, 512):
-                packed, holes, digests = [], [], []
-                for x in texts.slice(lo, 512):
-                    text = x.as_py()
-                    ids, missing = filler.text(text)
-                    packed.append(pack.compress(ids))
-                    holes.append(missing)
-                    digests.append(hashlib.sha256((text or "").replace(SPACE, " ").encode()).hexdigest())
-                part = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), pa.array(packed, pa.binary()), pa.array(holes, pa.list_(pa.string())), pa.array(digests)], names=["_id", "_h", "packed", "holes", "sha"])
-
-    return run
+        return [b"".join([get(w) or new[w] for w in x]) for x in words]
 
 
-def _finish(size: int, table: list[bytes] | None):
-    """Ids with all holes filled; with a table of pieces also whether the decoded text is the one that was read."""
+def _read(pieces: Pieces, cache, check: bool):
+    """_id, n_tokens, token_ids; to check also the text's digest and whether the decoded ids give it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        known: dict[str, bytes] = {}
+        for b in pa.ipc.open_stream(cache.value):
+            known |= {s.as_py(): array("i", i.as_py()).tobytes() for s, i in zip(b.column("segment"), b.column("ids"), strict=True)}
+        reader = _Reader(pieces, known)
+        table = pieces.as_bytes()
         for batch in it:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out, equal = [], []
-                for packed, fills, sha in zip(part.column("packed").to_pylist(), part.column("fills").to_pylist(), part.column("sha").to_pylist(), strict=True):
-                    ids = np.frombuffer(unpack.decompress(packed), dtype="<u4")
-                    at = np.flatnonzero(ids >= size)
-                    if len(at):
-                        by = {f["hole"]: np.asarray(f["ids"], dtype="<u4") for f in fills}
-                        parts, last = [], 0
-                        for i, hole in zip(at.tolist(), (ids[at] - size).tolist(), strict=True):
-                            parts += [ids[last:i], by[hole]]
-                            last = i + 1
-                        ids = np.concatenate([*parts, ids[last:]])
-                    out.append(ids.astype(np.int32))
-                    if table is not None:
-                        equal.append(hashlib.sha256(_decoded(ids.tolist(), table)).hexdigest() == sha)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = part.column("_text").to_pylist()
+                out = [np.frombuffer(x, dtype=np.intc) for x in reader.texts(texts)]
+                sha, equal = [], []
+                if check:
+                    for text, ids in zip(texts, out, strict=True):
+                        plain = (text or "").replace(SPACE, " ").encode()
+                        sha.append(hashlib.sha256(plain).hexdigest())
+                        equal.append(_decoded(ids.tolist(), table) == plain)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32)))
-                cols, names = [part.column("_id"), pa.array([len(x) for x in out], pa.int64()), lists, part.column("sha")], ["_id", "n_tokens", "token_ids", "sha"]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(equal, pa.bool_())] if table is not None else [])], names=[*names, *(["ok"] if table is not None else [])])
+                cols, names = [part.column("_id"), pa.array([len(x) for x in out], pa.int64()), lists], ["_id", "n_tokens", "token_ids"]
+                if check:
+                    cols, names = [*cols, pa.array(sha, pa.string()), pa.array(equal, pa.bool_())], [*names, "sha", "ok"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        reader.cached.clear()
+        reader.memory.clear()
+        give_back()
 
     return run
 
 
 def _decoded(ids: list[int], table: list[bytes]) -> bytes:
     """The bytes of the text, without the space that was put in front."""
-    return b"".join([table[i] for i in ids])[1:]
+    return b"".join(map(table.__getitem__, ids))[1:]
+
+
+def _frequent(counted: DataFrame) -> DataFrame:
+    """The most frequent rows of counted (segment, n, size), CACHE at most: whole classes of size, from the largest on. There are a few
+    hundred sizes, so nothing has to be sorted."""
+    left, least = CACHE, None
+    for r in sorted(counted.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    return counted.filter(F.col("size") >= least) if least is not None else counted.limit(0)
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: bool) -> DataFrame:
     spark = df.sparkSession
-    cutter, size = Cutter(pieces), len(pieces.text)
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
-    counted = texts.select("_text").mapInArrow(_count(cutter), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    counted = checkpointed(counted)
-    known = checkpointed(encode_segments(counted.select("segment").repartition("segment"), pieces))
-    top = counted.orderBy(F.desc("n"), "segment").limit(CACHE).select("segment")
-    frequent = known.join(top, "segment", "left_semi").toArrow()
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    counted = texts.select("_text").mapInArrow(_count(Cutter(pieces)), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted.withColumn("size", F.floor(F.log2("n") * 16)))
+    known = encode_segments(_frequent(counted).select("segment"), pieces).toArrow()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, frequent.schema) as w:
-        w.write_table(frequent)
+    with pa.ipc.new_stream(sink, known.schema) as w:
+        w.write_table(known)
     cache = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    filled = checkpointed(texts.mapInArrow(_fill(cutter, cache, size), "_id long, _h long, packed binary, holes array<string>, sha string"))
-    missing = filled.select("_id", "_h", F.posexplode("holes").alias("hole", "segment")).distinct()
-    answers = missing.join(known, "segment").groupBy("_id", "_h").agg(F.collect_list(F.struct("hole", "ids")).alias("fills"))
-    whole = filled.select("_id", "_h", "packed", "sha").alias("f").join(answers.alias("a"), F.col("f._id").eqNullSafe(F.col("a._id")) & (F.col("f._h") == F.col("a._h")), "left").select("f._id", "packed", "sha", "fills")
-    kind = "_id long, n_tokens long, token_ids array<int>, sha string" + ", ok boolean" * check
-    return whole.mapInArrow(_finish(size, pieces.as_bytes() if check else None), kind)
+    return texts.mapInArrow(_read(pieces, cache, check), "_id long, n_tokens long, token_ids array<int>" + ", sha string, ok boolean" * check)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces | None = None) -> DataFrame:
