@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 
 def _hang(links: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _hang(links: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
     joined = both.join(least, both["a"] == least["n"])
     if large:
-        return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     own = least.select(F.col("n").alias("a"), F.col("m").alias("b"))
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).filter("a <> b").distinct()
 
@@ -35,5 +35,6 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now == before:
             break
         before = now
+        release(links.sparkSession)
     centres = stars.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centres)

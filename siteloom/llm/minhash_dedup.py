@@ -9,8 +9,8 @@ similarity of THRESHOLD between the shingle sets, computed exactly over 64-bit s
 
 Texts with equal shingle sets are one class from the start; only its least id goes on. In a bucket every member is compared with
 the bucket's least id, not with each other. What these links leave in different components is compared again, within buckets,
-but for pairs that the triangle inequality of the Jaccard distance rules out. So every candidate pair ends in one component, is
-verified, or is proven unlike, while large groups of near copies cost a link a member.
+but for pairs that exact bounds rule out (see _left_over). So every candidate pair ends in one component, is verified, or is proven
+unlike, while large groups of near copies cost a few comparisons a member.
 
 Defined results: texts without words are near nothing and stand alone; rows that share an id count as one document; a null id is
 compared as the least long and given back as null; other columns are never read.
@@ -22,18 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 from .components import connected_components
-from .wordhash import Family, Texts, U, chunks, mix
+from .wordhash import Family, Texts, U, chunks, give_back, mix
 
 SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 128
 BANDS = 32
-_H, _G = Family(21), Family(22)
+GROUPS = 64
+_H = Family(21)
 _NULL_ID = -(1 << 63)
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
@@ -98,6 +99,7 @@ def _signatures(k: int, bands: int):
                     [ids.slice(lo, n).cast(pa.int64()), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in sets], pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
                     names=["_k", "n", "c1", "c2", "bands"],
                 )
+        give_back()
 
     return run
 
@@ -147,12 +149,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingled = base.join(wanted, "_k", "left_semi").mapInArrow(_sets(k), "_k long, shingles binary")
     sets = checkpointed(shingled.groupBy("_k").agg(F.min("shingles").alias("shingles")))
     scored = checkpointed(_similarity(pairs, sets))
+    release(df.sparkSession)
     links = scored.filter(F.col("similarity") >= threshold).select("a", "b")
+    links = _left_over(met, scored, links, sets, threshold)
     parts = checkpointed(connected_components(links, "a", "b"))
-    extra = _left_over(met, scored, parts, threshold)
-    if extra.head(1):
-        more = _similarity(extra, sets).filter(F.col("similarity") >= threshold).select("a", "b")
-        parts = checkpointed(connected_components(links.union(more), "a", "b"))
     labels = classes.select("c1", "c2", "rep").join(parts, classes["rep"] == parts["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("_class"))
     own = signed.select("_k", F.when(F.col("n") > 0, F.col("c1")).otherwise(F.col("_k")).alias("c1"), F.when(F.col("n") > 0, F.col("c2")).otherwise(0).alias("c2"))
     found = own.join(checkpointed(labels), ["c1", "c2"], "left").withColumn("_class", F.coalesce("_class", "_k"))
@@ -160,24 +160,76 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(given("_k").alias(id_col), given("_class").alias("class_id"), (F.col("_k") == F.col("_class")).alias("kept"))
 
 
-def _left_over(met: DataFrame, scored: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket that are in different components yet and may be alike.
+def _explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column("shingles")]
+            ids = np.repeat(part.column("_k").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(ids)], names=["h", "_k"])
+
+
+def _histograms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        counts = [np.bincount(np.frombuffer(x.as_buffer(), dtype=np.int64) % GROUPS, minlength=GROUPS).astype(np.int32) for x in batch.column("shingles")]
+        flat = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.FixedSizeListArray.from_arrays(pa.array(flat), GROUPS).cast(pa.list_(pa.int32()))], names=["_k", "every"])
+
+
+def _sum(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0), lambda a, x: a + x)
+
+
+def _with_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows of the buckets that span several components, with their component as part."""
+    part = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    parted = checkpointed(rows.join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component"))
+    several = parted.groupBy("band", "bucket").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p < _q").select("band", "bucket")
+    return checkpointed(parted.join(several, ["band", "bucket"], "left_semi"))
+
+
+def _left_over(met: DataFrame, scored: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """links and those among rows of one bucket that they leave in different components.
 
-    With d(x) the distance to the bucket's leader, a pair is unlike if |d(x) - d(y)| > 1 - threshold. Components of a bucket are paired
-    first, by their ranges of d, so members of one component never meet.
+    A text's shingles that another text in question has too are counted by GROUPS residues of their hashes. Two texts share the sum of the
+    lesser counts at most; of n and n' shingles that bounds their similarity by m / (n + n' - m). With d the distance to the bucket's
+    leader, |d - d'| bounds their distance from below. Rows that can't reach the threshold with any text are out. The others of a bucket are compared with the one that has the smallest share of
+    shingles of its own, the middle of a group of copies; what is still apart then is compared pair by pair, within both bounds.
     """
-    reach = 1 - threshold + 1e-9
-    part = parts.select(F.col("node").alias("rep"), "component")
     gone = scored.select(F.col("a").alias("rep"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("d"))
-    rows = met.join(part, "rep", "left").join(gone, ["rep", "leader"], "left")
-    rows = checkpointed(rows.select("band", "bucket", "rep", F.coalesce("component", "rep").alias("part"), F.coalesce("d", F.lit(0.0)).alias("d")))
-    ranges = rows.groupBy("band", "bucket", "part").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    one, two = (ranges.select("band", "bucket", *[F.col(c).alias(c + x) for c in ("part", "lo", "hi")]) for x in "ab")
-    split = one.join(two, ["band", "bucket"]).filter((F.col("parta") < F.col("partb")) & (F.col("loa") - F.col("hib") <= reach) & (F.col("lob") - F.col("hia") <= reach))
-    split = checkpointed(split.select("band", "bucket", "parta", "partb"))
-    x, y = (rows.filter("d > 0").select("band", "bucket", *[F.col(c).alias(c + s) for c in ("rep", "part", "d")]) for s in "ab")
-    both = split.join(x, ["band", "bucket", "parta"]).join(y, ["band", "bucket", "partb"]).filter(F.abs(F.col("da") - F.col("db")) <= reach)
-    return checkpointed(both.select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct())
+    rows = met.join(gone, ["rep", "leader"], "left").select("band", "bucket", "rep", F.coalesce("d", F.lit(0.0)).alias("d"))
+    rows = _with_parts(rows, links)
+    if not rows.head(1):
+        return links
+    asked = sets.join(rows.select(F.col("rep").alias("_k")).distinct(), "_k", "left_semi")
+    counted = asked.mapInArrow(_explode, "h long, _k long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("_k")).filter("n = 1")
+    alone = counted.groupBy("_k", F.pmod("h", F.lit(GROUPS)).cast("int").alias("g")).count().groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("g", "count"))).alias("u"))
+    left = F.transform("every", lambda n, g: n - F.coalesce(F.try_element_at("u", g), F.lit(0)).cast("int"))
+    known = asked.mapInArrow(_histograms, "_k long, every array<int>").join(alone, "_k", "left").select(F.col("_k").alias("rep"), _sum(F.col("every")).alias("n"), left.alias("c"))
+    known = known.withColumn("s", _sum(F.col("c"))).filter(F.col("s") >= F.lit(threshold) * F.col("n"))
+    rows = checkpointed(rows.join(checkpointed(known), "rep"))
+
+    side = lambda df, x: df.select("band", "bucket", *[F.col(c).alias(c + x) for c in ("rep", "part", "d", "n", "s", "c")])
+    enough = lambda m: m >= F.lit(threshold) * (F.col("na") + F.col("nb") - m)
+    common = _sum(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)))
+    able = (F.col("parta") != F.col("partb")) & enough(F.least("sa", "sb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - threshold + 1e-9) & enough(common)
+    pairs = lambda df: df.filter(able).select(F.greatest("repa", "repb").alias("a"), F.least("repa", "repb").alias("b")).distinct().join(scored, ["a", "b"], "left_anti")
+    row = F.struct(*[F.col(c) for c in ("rep", "part", "d", "n", "s", "c")])
+    middle = rows.groupBy("band", "bucket").agg(F.min_by(row, F.struct(1 - F.col("s") / F.col("n"), "rep")).alias("m")).select("band", "bucket", "m.*")
+    met_middle = checkpointed(pairs(side(rows, "a").join(checkpointed(side(middle, "b")), ["band", "bucket"])))
+    seen = checkpointed(_similarity(met_middle, sets))
+    release(sets.sparkSession)
+    links = links.union(seen.filter(F.col("similarity") >= threshold).select("a", "b"))
+
+    rows = _with_parts(rows.drop("part"), links)
+    if not rows.head(1):
+        return links
+    # Members of a bucket's largest component are never paired among themselves.
+    largest = rows.groupBy("band", "bucket", "part").count().groupBy("band", "bucket").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
+    outer = rows.join(checkpointed(largest), ["band", "bucket"]).filter("part <> most").drop("most")
+    rest = pairs(side(outer, "a").join(side(rows, "b"), ["band", "bucket"])).join(seen, ["a", "b"], "left_anti")
+    more = checkpointed(_similarity(checkpointed(rest), sets))
+    return links.union(more.filter(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

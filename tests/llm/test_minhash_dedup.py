@@ -45,6 +45,13 @@ def corpus():
     words = [rng.choice(vocabulary) for _ in range(300)]
     for step in range(8):
         out.append([f"c{step}_{i}" if i < 12 * step else w for i, w in enumerate(words)])
+    # A group of edited copies, most of them too far from each other.
+    words = [rng.choice(vocabulary) for _ in range(150)]
+    for _ in range(120):
+        copy = list(words)
+        for _ in range(rng.randint(0, 8)):
+            copy[rng.randrange(len(copy))] = f"e{rng.random()}"
+        out.append(copy)
     rng.shuffle(out)
     rows = [(i, " ".join(x)) for i, x in enumerate(out)]
     return rows + [(9000 + i, x) for i, x in enumerate([None, "", " \n", "one", "one", "a b c d e " * 500, "a b c d e " * 400])]
