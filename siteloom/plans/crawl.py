@@ -62,6 +62,8 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
         got = checkpointed(asked.join(links, "url").withColumn("hop", F.lit(hop)))
         done = got.select("base", "depth", "hop", "url", "page_id", F.col("archivable").alias("stored"))
         fetched = done if fetched is None else fetched.union(done)
+        if hop % 8 == 7:
+            fetched = checkpointed(fetched)
         out = got.filter("followable").select("base", "depth", F.explode("hrefs").alias("href"))
         found = frontier.normalise_links(out, settings=settings).groupBy("url").agg(F.min("depth").alias("from_depth"))
         new = checkpointed(frontier.unvisited(found, visited))
@@ -72,7 +74,10 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
         log.info("hop %d: %d new urls", hop, n)
         if not n:
             break
-        visited = checkpointed(visited.union(queue.select("url", "base", "depth", F.lit(hop + 1).alias("hop"))))
+        # Each queue is checkpointed already; the union of them is, once in a while, to keep plans short.
+        visited = visited.union(queue.select("url", "base", "depth", F.lit(hop + 1).alias("hop")))
+        if hop % 8 == 7:
+            visited = checkpointed(visited)
         if settings.crawl_depth > 0:
             more = queue.select("base", "depth").distinct().join(sites.select("base", "depth"), ["base", "depth"], "left_anti").withColumn("seq", F.lit(hop + 1).cast("long"))
             sites = checkpointed(sites.union(more))
