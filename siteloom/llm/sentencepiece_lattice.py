@@ -2,7 +2,7 @@
 
 Text is prepared as the model file says for a model with the identity normaliser: a space becomes U+2581 and one is put in front.
 Two neighbouring characters that no piece holds side by side can't lie in one piece, so a text falls apart exactly at such places;
-the parts between are segments. Each distinct segment of the corpus is encoded once:
+the parts between are segments, the words of the lattice. Each distinct segment of the corpus is encoded once, every one of them so:
 
     explode its substrings of up to the longest piece's length, equi-join them to the piece table, group the edges by segment,
     fold over the edges with Spark's aggregate().
@@ -10,50 +10,51 @@ the parts between are segments. Each distinct segment of the corpus is encoded o
 The fold is the one that the file's own type asks for, so that the ids are those of the SentencePiece library:
 
     UNIGRAM  Viterbi over the edges sorted by end; of paths of equal score the one whose last piece starts first wins
-    BPE      again and again the two neighbours whose union is the piece of highest score are joined, the leftmost of equals
+    BPE      again and again the best edge that joins two neighbours is taken, the leftmost of equals; the bounds between pieces
+             are the bits of a long. Segments of more than BITS characters go by Viterbi over the same edges, where an edge may
+             follow another only if merging leaves the two apart. For that their joined texts are encoded by the first fold. A path
+             of such neighbours is the one that merging the whole gives, and there is one for each end, so nothing is scored.
 
 Viterbi over the scores of a BPE file, which are ranks of merges, gives other ids than the library for most texts; `fold` forces it
 all the same. A single character that is no piece is written as the pieces of its bytes; for Viterbi it is an edge at the lowest
-score less 10. The merging fold looks at all neighbours in each step, so segments of more than BLOCK characters go to the heap.
+score less 10.
 
-The CACHE most frequent segments go that way; counts are over the whole corpus, and the table is broadcast within that bound. They
-are about 98 % of all segments read. A rarer one is encoded where it is read, by the same rule stated over a heap (or a table, for
-Viterbi), so no text, id or rare segment is ever shuffled: the lattice's work is bounded whatever the corpus, and the rest is a scan.
+The ids then go back to the texts by a join that is split by heat: the most frequent segments, CACHE_BYTES at most, are broadcast;
+each other one is a row (text's key, segment), joined to the lattice's answers and gathered by text, and the texts are shuffled once
+to meet them. A segment outside the broadcast table can't be hot, as many others are more frequent. In Python texts are cut,
+segments are looked up by a 64-bit hash and ids are laid end to end; no text is encoded there.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is read back as a space; equal rows give equal results, one
-each; a null id stays null; other columns are never read. Segments may have any length.
+each; a null id stays null; other columns are never read. A text's segments may have any length; the edges of one segment are one
+row, so a segment must fit a task as a value (a few hundred bytes a character), as a text must.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import math
-import re
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .wordhash import give_back
+from .common import checkpointed, release
+from .wordhash import Family, U, give_back, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNK_PENALTY = 10.0
-CACHE = 1 << 18
-#: Words that a task remembers, and characters of a block of a long segment.
-MEMORY = 1 << 18
-BLOCK = 64
-#: start * WIDE + end is a key of a place in a segment of up to BLOCK characters.
-WIDE = 128
+#: Bytes of segments and ids that are broadcast.
+CACHE_BYTES = 32 << 20
+#: Characters of a segment whose bounds fit the bits of a long, and of a block of a longer one.
+BITS = 62
+#: Characters of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.
+PART, TOGETHER = 1 << 19, 24
 _RUN = 256
+_H = Family(51)
 
 
 @dataclass
@@ -98,13 +99,10 @@ class Pieces:
 
 
 class Cutter:
-    """Cuts prepared text into words, and words into segments."""
+    """Cuts prepared texts into segments."""
 
     def __init__(self, pieces: Pieces):
         beside = {a + b for t, _, _ in pieces.normal() for a, b in zip(t, t[1:], strict=False)}
-        # Where no piece goes on into U+2581 or beside a line end, one pattern finds the words, which repeat more than texts do.
-        plain = not any((b[1] == SPACE and b[0] != SPACE) or "\n" in b for b in beside)
-        self.words: Callable[[str], list[str]] = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall if plain else lambda t: [t] if t else []
         # Characters of pieces by number, 0 for all others, and which numbers stand side by side in one.
         chars = sorted({c for b in beside for c in b})
         self.number = np.zeros(0x110000, dtype=np.uint16)
@@ -113,38 +111,93 @@ class Cutter:
         for b in beside:
             self.joined[self.number[ord(b[0])], self.number[ord(b[1])]] = True
 
-    def segments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """(the segments of all words in order, the first segment of each word and one past the last)."""
-        whole = "".join(words)
-        n = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))))
-        cut = np.append(np.append(True, ~self.joined[n[:-1], n[1:]])[: len(whole)], True)
-        cut[starts] = True
-        at = np.flatnonzero(cut)
-        places = at.tolist()
-        return [whole[a:b] for a, b in zip(places[:-1], places[1:], strict=True)], np.searchsorted(at, starts)
-
 
 def prepared(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+#: What a character counts for in a segment's hash.
+_VALUE = mix(np.arange(1, 0x110001, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.zeros(0, dtype=U)
+    return _H._runs(_VALUE[points], _H.bases[0], starts, ends) + (ends - starts).astype(U)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _segment_hashes(strings: list[str]) -> np.ndarray:
+    ends = np.cumsum(np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)))
+    return _hashes(_points("".join(strings)), np.append(0, ends)[: len(ends)], ends)
+
+
+class Cut:
+    """Segments of some texts: segment i is whole[starts[i]:ends[i]], of text doc[i], with hash h[i]."""
+
+    def __init__(self, cutter: Cutter, texts: list[str | None]):
+        parts = [prepared(t) for t in texts]
+        self.whole = "".join(parts)
+        points = _points(self.whole)
+        begins = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))))
+        n = cutter.number[points]
+        cut = np.append(True, ~cutter.joined[n[:-1], n[1:]])[: len(n)]
+        cut[begins[begins < len(n)]] = True
+        self.starts = np.flatnonzero(cut)
+        self.ends = np.append(self.starts[1:], len(n))[: len(self.starts)]
+        self.first = np.searchsorted(self.starts, begins)
+        self.doc = np.repeat(np.arange(len(parts)), np.diff(self.first))
+        self.h = _hashes(points, self.starts, self.ends)
+
+    def strings(self, at: np.ndarray) -> list[str]:
+        whole = self.whole
+        return [whole[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(from, to, texts) in parts of about PART characters."""
+    texts = batch.column("_text").to_pylist()
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "") + 1
+        if i > at and size + n > PART:
+            yield at, i, texts[at:i]
+            at, size = i, 0
+        size += n
+    if texts:
+        yield at, len(texts), texts[at:]
+
+
 def _count(cutter: Cutter):
+    """segment, n: how often each segment occurs in some parts of a task's texts."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray, Cut, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            segments, begin = cutter.segments(list(words))
-            found: dict[str, int] = {}
-            for s, n in zip(segments, np.repeat(list(words.values()), np.diff(begin)).tolist(), strict=True):
-                found[s] = found.get(s, 0) + n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["segment", "n"])
+            h, n = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, dtype=np.int64) for i in (0, 1))
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=n, minlength=len(first)).astype(np.int64)
+            ends = np.cumsum([len(x[0]) for x in held])
+            order = np.argsort(first)
+            out: list[str] = []
+            for (hs, _, cut, at), end in zip(held, ends, strict=True):
+                mine = first[order]
+                mine = mine[(mine >= end - len(hs)) & (mine < end)] - (end - len(hs))
+                out += cut.strings(at[mine])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(total[order])], names=["segment", "n"])
 
         for batch in it:
-            for text in batch.column("_text"):
-                words.update(cutter.words(prepared(text.as_py())))
-                if len(words) > 2 * MEMORY:
+            for _, _, texts in _parts(batch):
+                cut = Cut(cutter, texts)
+                h, at, n = np.unique(cut.h, return_index=True, return_counts=True)
+                held.append((h, n, cut, at))
+                cut.doc = cut.h = cut.first = None
+                if len(held) >= TOGETHER:
                     yield flush()
         yield flush()
         give_back()
@@ -153,16 +206,16 @@ def _count(cutter: Cutter):
 
 
 def edges(segments: DataFrame, pieces: DataFrame, longest: int, lowest: float) -> DataFrame:
-    """segment, end, start, id (-1: no piece), score: each piece's place in each segment. Long segments are read in blocks."""
-    n = F.length("segment")
-    blocks = segments.select("segment", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).alias("_b"))
-    blocks = blocks.select("segment", "_n", (F.col("_b") * BLOCK).alias("_at"), F.when(F.col("_n") <= BLOCK, F.col("segment")).otherwise(F.substring("segment", F.col("_b") * BLOCK + 1, F.lit(BLOCK + longest))).alias("_t"))
-    starts = blocks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("_n") - F.col("_at")) - 1)).alias("_i"))
+    """segments' columns, piece, end, start, id (-1: no piece), score: each piece's place in each segment. Long segments are read in blocks."""
+    own, n = segments.columns, F.length("segment")
+    blocks = segments.select(*own, n.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BITS).cast("int"))).alias("_b"))
+    blocks = blocks.select(*own, "_n", (F.col("_b") * BITS).alias("_at"), F.when(F.col("_n") <= BITS, F.col("segment")).otherwise(F.substring("segment", F.col("_b") * BITS + 1, F.lit(BITS + longest))).alias("_t"))
+    starts = blocks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BITS), F.col("_n") - F.col("_at")) - 1)).alias("_i"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_n") - F.col("_at") - F.col("_i")))).alias("_l"))
-    subs = spans.select("segment", (F.col("_at") + F.col("_i")).alias("start"), "_l", F.substring("_t", F.col("_i") + 1, F.col("_l")).alias("piece"))
+    subs = spans.select(*own, (F.col("_at") + F.col("_i")).alias("start"), "_l", F.substring("_t", F.col("_i") + 1, F.col("_l")).alias("piece"))
     # The piece table is the vocabulary file: broadcast within that bound.
     hit = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("_l") == 1))
-    return hit.select("segment", (F.col("start") + F.col("_l")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(lowest - UNK_PENALTY)).alias("score"))
+    return hit.select(*own, "piece", (F.col("start") + F.col("_l")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(lowest - UNK_PENALTY)).alias("score"))
 
 
 def viterbi(edges_sorted: Column, longest: int) -> Column:
@@ -203,203 +256,183 @@ def viterbi(edges_sorted: Column, longest: int) -> Column:
     return F.reverse(path)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def merged(joins: Column, n: Column) -> Column:
+    """long: the bounds between pieces that merging leaves of n characters, as bits. joins: edges of two characters or more, the best
+    first and the leftmost of equals, with the bits of their ends and those between."""
 
+    def step(m: Column, _: Column) -> Column:
+        # A negative state has come to its end.
+        can = lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1)
+        return F.when(m < 0, m).otherwise(F.coalesce(m - m.bitwiseAND(F.get(F.filter(joins, can), F.lit(0))["inner"]), -m))
 
-def merged(pieces: Column, n: Column) -> Column:
-    """array<int>: the bounds of the pieces that merging leaves of n characters; pieces: map of start * WIDE + end to (score, id)."""
-    key = lambda b, k, step: F.get(b, k) * WIDE + F.get(b, k + step)
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    return F.abs(F.aggregate(steps, F.expr("shiftleft(2L, _n) - 1"), step))
 
-    def step(s: Column, _: Column) -> Column:
-        b = s["b"]
-        ways = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda k: F.struct(F.try_element_at(pieces, key(b, k, 2))["score"].alias("score"), (-k).alias("at")))
-        best = F.when(s["on"] & (F.size(b) > 2), F.array_max(F.filter(ways, lambda w: w["score"].isNotNull())))
-        join = lambda w: F.struct(F.concat(F.slice(b, 1, 1 - w["at"]), F.slice(b, 3 - w["at"], F.size(b))).alias("b"), F.lit(True).alias("on"))
-        return _let(best, lambda w: F.when(w.isNull(), F.struct(b.alias("b"), F.lit(False).alias("on"))).otherwise(join(w)))
 
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.struct(F.sequence(F.lit(0), n).alias("b"), F.lit(True).alias("on")), step, lambda s: s["b"])
+def _ids(id_: Column, piece: Column, pieces: Pieces) -> Column:
+    """array<int>: a piece's id, or the ids of its bytes where it is none."""
+    byte_id = F.array(*[F.lit(i) for i in pieces.byte_id])
+    hexed = F.hex(F.encode(piece, "UTF-8"))
+    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda k: F.element_at(byte_id, F.conv(F.substring(hexed, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
+    return F.when(id_ >= 0, F.array(id_)).otherwise(bytes_)
+
+
+def _merge_short(lattice: DataFrame, own: list[str], pieces: Pieces) -> DataFrame:
+    """The columns own, ids and bounds of segments of up to BITS characters."""
+    bits = lattice.select(*own, "start", "id", (-F.col("score")).alias("rank"), F.expr("shiftleft(1L, start) + shiftleft(1L, end)").alias("ends"), F.expr("shiftleft(1L, end) - shiftleft(2L, start)").alias("inner"))
+    # Edges of one character join nothing; they say what is written where no other piece is left.
+    edge, one = F.struct("rank", "start", "ends", "inner", "id"), F.struct("start", "id")
+    grouped = bits.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("inner") != 0, edge))).alias("_e"), F.collect_list(F.when(F.col("inner") == 0, one)).alias("_o"))
+    found = grouped.withColumn("_n", F.length("segment")).withColumn("_m", merged(F.col("_e"), F.col("_n")))
+    m = F.col("_m")
+    left = F.filter("_e", lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (m.bitwiseAND(x["inner"]) == 0))
+    alone = F.filter("_o", lambda x: F.call_function("shiftright", m, x["start"]).bitwiseAND(F.lit(3)) == 3)
+    kept = F.sort_array(F.concat(F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["id"].alias("id"))), alone))
+    found = found.select(*own, m.alias("bounds"), kept.alias("_k"))
+    plain = F.transform("_k", lambda x: x["id"])
+    by_bytes = F.flatten(F.transform("_k", lambda x: _ids(x["id"], F.substring(F.col("segment"), x["start"] + 1, F.lit(1)), pieces)))
+    return found.select(*own, F.when(F.array_min(plain) >= 0, plain).otherwise(by_bytes).alias("ids"), "bounds")
+
+
+def path(edges_sorted: Column, longest: int) -> Column:
+    """array<struct<e,s,i>>: of edges (end, start, id, lefts) sorted by end the path on which each edge's left neighbour is one of its lefts,
+    known by where it starts; -1 stands for none. There is one such edge for each end."""
+    node = "struct<e:int,s:int,i:int>"
 
+    def push(s: Column, x: Column) -> list[Column]:
+        full = F.size(s["cur"]) >= _RUN
+        return [F.when(full, F.array(x)).otherwise(F.array_append(s["cur"], x)).alias("cur"), F.when(full, F.array_append(s["done"], s["cur"])).otherwise(s["done"]).alias("done")]
 
-def merge_short(text: str, score: dict[str, float]) -> list[str]:
-    """What merging leaves of a short text: the best pair of neighbours by a look at all."""
-    get, none = score.get, -math.inf
-    parts = list(text)
-    ways = [get(p, none) for p in map(add, text, text[1:])]
-    while ways:
-        best = max(ways)
-        if best == none:
-            break
-        k = ways.index(best)
-        joined = parts[k] + parts.pop(k + 1)
-        parts[k] = joined
-        del ways[k]
-        if k < len(ways):
-            ways[k] = get(joined + parts[k + 1], none)
-        if k:
-            ways[k - 1] = get(parts[k - 1] + joined, none)
-    return parts
-
-
-def merge_by_heap(text: str, score: dict[str, float]) -> list[str]:
-    """What merging leaves of text, for segments of any length."""
-    size = len(text)
-    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    end = list(range(1, size + 1))
-    heap: list[tuple[float, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = after[a]
-        if b < size and (s := score.get(text[a : end[b]])) is not None:
-            heapq.heappush(heap, (-s, a, end[b]))
-
-    for i in range(size):
-        offer(i)
-    alive = [True] * size
-    while heap:
-        _, a, e = heapq.heappop(heap)
-        b = after[a] if alive[a] else size
-        if b >= size or end[b] != e:
-            continue
-        alive[b] = False
-        end[a], after[a] = e, after[b]
-        if after[a] < size:
-            before[after[a]] = a
-        offer(a)
-        if before[a] >= 0:
-            offer(before[a])
-    return [text[i : end[i]] for i in range(size) if alive[i]]
-
-
-def best_path(text: str, score: dict[str, float], longest: int, unknown: float) -> list[str]:
-    """Viterbi over one segment."""
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for end in range(1, len(text) + 1):
-        way: tuple[float, int] | None = None
-        for start in range(max(0, end - longest), end):
-            s = score.get(text[start:end], unknown if end - start == 1 else None)
-            if s is not None and (way is None or best[start][0] + s > way[0]):
-                way = (best[start][0] + s, start)
-        best.append(way)
-    out, end = [], len(text)
-    while end:
-        out.append(text[best[end][1] : end])
-        end = best[end][1]
-    return out[::-1]
-
-
-class Encoder:
-    """Encodes single segments by the rule of the file's type."""
+    empty, runs = F.array().cast(f"array<{node}>"), F.array().cast(f"array<array<{node}>>")
 
-    def __init__(self, pieces: Pieces):
-        normal = pieces.normal()
-        self.score = {t: s for t, _, s in normal}
-        self.ids = {t: i for t, i, _ in normal}
-        self.byte_id = pieces.byte_id
-        longest, unknown = max(len(t) for t in self.ids), min(self.score.values()) - UNK_PENALTY
-        self.split: Callable[[str], list[str]] = (lambda x: best_path(x, self.score, longest, unknown)) if pieces.fold == "viterbi" else (lambda x: (merge_short if len(x) <= BLOCK else merge_by_heap)(x, self.score))
-
-    def __call__(self, segment: str) -> list[int]:
-        get, out = self.ids.get, []
-        for x in self.split(segment):
-            i = get(x)
-            if i is None:
-                out += [self.byte_id[b] for b in x.encode()]
-            else:
-                out.append(i)
-        return out
-
-
-def _encode_long(pieces: Pieces):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one = Encoder(pieces)
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array([encode_one(s) for s in batch.column("segment").to_pylist()], pa.list_(pa.int32()))], names=["segment", "ids"])
+    def step(s: Column, x: Column) -> Column:
+        # win: where the piece that ends at each of the last places starts, the nearest first.
+        fits = F.array_contains(x["lefts"], F.element_at(s["win"], x["end"] - x["start"]))
+        taken = F.struct(F.slice(F.concat(F.array(x["start"]), s["win"]), 1, longest).alias("win"), *push(s, F.struct(x["end"].alias("e"), x["start"].alias("s"), x["id"].alias("i"))))
+        return F.when(fits, taken).otherwise(s)
 
-    return run
+    begin = F.struct(F.array(F.lit(-1)).alias("win"), empty.alias("cur"), runs.alias("done"))
+    nodes = F.aggregate(edges_sorted, begin, step, lambda s: F.flatten(F.array_append(s["done"], s["cur"])))
+
+    def back(s: Column, x: Column) -> Column:
+        on = (s["next"] < 0) | (x["e"] == s["next"])
+        return F.when(on, F.struct(x["s"].alias("next"), *push(s, x))).otherwise(s)
+
+    found = F.aggregate(F.reverse(nodes), F.struct(F.lit(-1).alias("next"), empty.alias("cur"), runs.alias("done")), back, lambda s: F.flatten(F.array_append(s["done"], s["cur"])))
+    return F.reverse(found)
+
+
+def _merge_long(long: DataFrame, pieces: Pieces, table: DataFrame, longest: int, lowest: float) -> DataFrame:
+    """segment, ids of segments of any length."""
+    lattice = checkpointed(edges(long, table, longest, lowest).withColumn("_h", F.xxhash64("segment")))
+    right = lattice.select("segment", "_h", "start", "end", "id", F.col("piece").alias("_r"))
+    left = lattice.select("segment", "_h", F.col("end").alias("start"), F.col("start").alias("_s"), F.col("piece").alias("_l"))
+    first = lattice.filter("start = 0").select("segment", "_h", "start", F.lit(-1).alias("_s"), F.lit("").alias("_l")).distinct()
+    beside = right.join(left.unionByName(first), ["_h", "segment", "start"]).withColumn("_both", F.concat("_l", "_r")).withColumn("_at", F.length("_l"))
+    beside = checkpointed(beside.select("segment", "start", "end", "id", "_s", "_both", "_at"))
+    # Texts of two pieces at most: those of one piece come by the first fold too, so all are of up to twice the longest piece.
+    apart = _merge_short(edges(beside.select(F.col("_both").alias("segment")).distinct(), table, longest, lowest), ["segment"], pieces)
+    apart = checkpointed(apart.select(F.col("segment").alias("_both"), "bounds"))
+    fits = F.col("bounds") == F.expr("1L | shiftleft(1L, _at) | shiftleft(1L, length(_both))")
+    ways = beside.join(apart, "_both").filter(fits).groupBy("segment", "start", "end", "id").agg(F.collect_set("_s").alias("lefts"))
+    grouped = ways.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "lefts"))).alias("_e"))
+    found = grouped.select("segment", path(F.col("_e"), longest).alias("_p"))
+    return found.select("segment", F.flatten(F.transform("_p", lambda x: _ids(x["i"], F.substring(F.col("segment"), x["s"] + 1, F.lit(1)), pieces))).alias("ids"))
 
 
 def encode_segments(segments: DataFrame, pieces: Pieces) -> DataFrame:
-    """segment, ids of each row of segments, which must be distinct."""
-    normal = pieces.normal()
+    """The columns of segments and ids; its rows must be distinct in segment."""
+    own, normal = segments.columns, pieces.normal()
     longest, lowest = max(len(t) for t, _, _ in normal), min(s for _, _, s in normal)
-    byte_id = F.array(*[F.lit(i) for i in pieces.byte_id])
-
-    def ids(piece: Column, start: Column) -> Column:
-        hexed = F.hex(F.encode(F.substring(F.col("segment"), start + 1, F.lit(1)), "UTF-8"))
-        bytes_ = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda k: F.element_at(byte_id, F.conv(F.substring(hexed, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(piece >= 0, F.array(piece)).otherwise(bytes_)
-
-    short = segments if pieces.fold == "viterbi" else segments.filter(F.length("segment") <= BLOCK)
-    lattice = edges(short, pieces.table(segments.sparkSession), longest, lowest)
+    table = pieces.table(segments.sparkSession)
     if pieces.fold == "viterbi":
-        grouped = lattice.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("_e"))
-        paths = grouped.select("segment", viterbi(F.col("_e"), longest).alias("_p"))
-        return paths.select("segment", F.flatten(F.transform("_p", lambda x: ids(x["i"], x["s"]))).alias("ids"))
-    at = (F.col("start") * WIDE + F.col("end")).alias("at")
-    grouped = lattice.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct("score", "id").alias("to")))).alias("_m"))
-    bounds = grouped.select("segment", "_m", merged(F.col("_m"), F.length("segment")).alias("_b"))
-    piece = lambda a, k: ids(F.try_element_at(F.col("_m"), a * WIDE + F.get(F.col("_b"), k + 1))["id"], a)
-    found = bounds.select("segment", F.flatten(F.transform(F.slice("_b", 1, F.size("_b") - 1), piece)).alias("ids"))
-    long = segments.filter(F.length("segment") > BLOCK).select("segment").mapInArrow(_encode_long(pieces), "segment string, ids array<int>")
-    return found.unionByName(long)
-
-
-class _Reader:
-    """Encodes texts: words that came before from memory, segments from the broadcast table, the others one by one."""
-
-    def __init__(self, pieces: Pieces, cached: dict[str, bytes]):
-        self.cutter, self.encode_one, self.cached = Cutter(pieces), Encoder(pieces), cached
-        self.memory: dict[str, bytes] = {}
-
-    def words(self, new: list[str]) -> dict[str, bytes]:
-        get = self.cached.get
-        segments, begin = self.cutter.segments(new)
-        ids = [get(s) or array("i", self.encode_one(s)).tobytes() for s in segments]
-        at = begin.tolist()
-        found = {w: ids[a] if b == a + 1 else b"".join(ids[a:b]) for w, a, b in zip(new, at[:-1], at[1:], strict=True)}
-        # Common words come early: the memory is filled once and kept.
-        if len(self.memory) < MEMORY:
-            self.memory.update(found)
+        grouped = edges(segments, table, longest, lowest).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("_e"))
+        paths = grouped.select(*own, viterbi(F.col("_e"), longest).alias("_p"))
+        return paths.select(*own, F.flatten(F.transform("_p", lambda x: _ids(x["i"], F.substring(F.col("segment"), x["s"] + 1, F.lit(1)), pieces))).alias("ids"))
+    found = _merge_short(edges(segments.filter(F.length("segment") <= BITS), table, longest, lowest), own, pieces).select(*own, "ids")
+    long = checkpointed(segments.filter(F.length("segment") > BITS))
+    if not long.head(1):
         return found
+    return found.unionByName(_merge_long(long.select("segment"), pieces, table, longest, lowest).join(long, "segment").select(*own, "ids"))
+
+
+class Answers:
+    """Segments' ids by the segments' hashes."""
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        words = [self.cutter.words(prepared(t)) for t in texts]
-        new = self.words(list(set().union(*words).difference(self.memory)))
-        get = self.memory.get
-        return [b"".join([get(w) or new[w] for w in x]) for x in words]
+    def __init__(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        self.h, at = np.unique(h, return_index=True)
+        self.begin, self.size, self.ids = (np.cumsum(sizes) - sizes)[at], sizes[at], ids
+
+    @classmethod
+    def of(cls, table: pa.Table | pa.StructArray) -> Answers:
+        segments, lists = (pc.struct_field(table, c) if isinstance(table, pa.StructArray) else table.column(c).combine_chunks() for c in ("segment", "ids"))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        return cls(_segment_hashes(segments.to_pylist()), sizes, pc.list_flatten(lists).to_numpy(zero_copy_only=False))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it isn't known."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+    def lay(self, out: np.ndarray, to: np.ndarray, at: np.ndarray) -> None:
+        """Write the ids of the segments at the places at into out, each from its place in to on."""
+        n = self.size[at]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + step] = self.ids[np.repeat(self.begin[at], n) + step]
+
+
+def _rare(cutter: Cutter, frequent):
+    """_k, segment: the segments of each text that aren't broadcast."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Answers = frequent.value
+        for batch in it:
+            keys = batch.column("_k").to_numpy(zero_copy_only=False)
+            for lo, _, texts in _parts(batch):
+                cut = Cut(cutter, texts)
+                at = np.flatnonzero(known.find(cut.h) < 0)
+                _, one = np.unique(np.stack([cut.doc[at].astype(U), cut.h[at]]), axis=1, return_index=True) if len(at) else (None, at)
+                at = at[one]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo + cut.doc[at]]), pa.array(cut.strings(at), pa.string())], names=["_k", "segment"])
+        give_back()
+
+    return run
 
 
-def _read(pieces: Pieces, cache, check: bool):
-    """_id, n_tokens, token_ids; to check also the text's digest and whether the decoded ids give it."""
+def _fill(cutter: Cutter, frequent, decoded: list[bytes] | None):
+    """_id, n_tokens, token_ids; with decoded also the text's digest and whether the decoded ids give it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
-        for b in pa.ipc.open_stream(cache.value):
-            known |= {s.as_py(): array("i", i.as_py()).tobytes() for s, i in zip(b.column("segment"), b.column("ids"), strict=True)}
-        reader = _Reader(pieces, known)
-        table = pieces.as_bytes()
+        known: Answers = frequent.value
         for batch in it:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = part.column("_text").to_pylist()
-                out = [np.frombuffer(x, dtype=np.intc) for x in reader.texts(texts)]
-                sha, equal = [], []
-                if check:
-                    for text, ids in zip(texts, out, strict=True):
+            for lo, hi, texts in _parts(batch):
+                cut = Cut(cutter, texts)
+                own = Answers.of(pc.list_flatten(batch.column("_rare").slice(lo, hi - lo)))
+                at = known.find(cut.h)
+                here = np.flatnonzero(at >= 0)
+                gaps = np.flatnonzero(at < 0)
+                to = own.find(cut.h[gaps])
+                if (to < 0).any():
+                    raise ValueError("a segment has no answer")
+                n = np.zeros(len(at), dtype=np.int64)
+                n[here], n[gaps] = known.size[at[here]], own.size[to]
+                begin = np.append(0, np.cumsum(n))
+                out = np.zeros(int(begin[-1]), dtype=np.int32)
+                known.lay(out, begin[here], at[here])
+                own.lay(out, begin[gaps], to)
+                bounds = begin[cut.first]
+                cols = [batch.column("_id").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out))]
+                names = ["_id", "n_tokens", "token_ids"]
+                if decoded:
+                    sha, equal = [], []
+                    for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                         plain = (text or "").replace(SPACE, " ").encode()
                         sha.append(hashlib.sha256(plain).hexdigest())
-                        equal.append(_decoded(ids.tolist(), table) == plain)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32)))
-                cols, names = [part.column("_id"), pa.array([len(x) for x in out], pa.int64()), lists], ["_id", "n_tokens", "token_ids"]
-                if check:
+                        equal.append(_decoded(out[a:b].tolist(), decoded) == plain)
                     cols, names = [*cols, pa.array(sha, pa.string()), pa.array(equal, pa.bool_())], [*names, "sha", "ok"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        reader.cached.clear()
-        reader.memory.clear()
         give_back()
 
     return run
@@ -410,29 +443,37 @@ def _decoded(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))[1:]
 
 
-def _frequent(counted: DataFrame) -> DataFrame:
-    """The most frequent rows of counted (segment, n, size), CACHE at most: whole classes of size, from the largest on. There are a few
-    hundred sizes, so nothing has to be sorted."""
-    left, least = CACHE, None
-    for r in sorted(counted.groupBy("size").count().collect(), key=lambda r: -r["size"]):
-        left -= r["count"]
+def _frequent(answers: DataFrame) -> DataFrame:
+    """The most frequent rows of answers (segment, n, ids), CACHE_BYTES at most: whole classes of frequency, from the highest on. There are
+    a few hundred classes, so nothing has to be sorted."""
+    kind = F.floor(F.log2("n") * 16)
+    left, least = CACHE_BYTES, None
+    short = answers.filter(F.length("segment") <= BITS)
+    for r in sorted(short.groupBy(kind.alias("kind")).agg(F.sum(F.octet_length("segment") + 4 * F.size("ids") + 24).alias("size")).collect(), key=lambda r: -r["kind"]):
+        left -= r["size"]
         if left < 0:
             break
-        least = r["size"]
-    return counted.filter(F.col("size") >= least) if least is not None else counted.limit(0)
+        least = r["kind"]
+    return short.filter(kind >= least) if least is not None else short.limit(0)
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: bool) -> DataFrame:
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    counted = texts.select("_text").mapInArrow(_count(Cutter(pieces)), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    counted = checkpointed(counted.withColumn("size", F.floor(F.log2("n") * 16)))
-    known = encode_segments(_frequent(counted).select("segment"), pieces).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, known.schema) as w:
-        w.write_table(known)
-    cache = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    return texts.mapInArrow(_read(pieces, cache, check), "_id long, n_tokens long, token_ids array<int>" + ", sha string, ok boolean" * check)
+    # Texts that share a key share answers, which are right for any of them.
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("_k"))
+    cutter = Cutter(pieces)
+    counted = texts.select("_text").mapInArrow(_count(cutter), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted)
+    answers = checkpointed(encode_segments(counted, pieces))
+    release(spark)
+    frequent = spark.sparkContext.broadcast(Answers.of(_frequent(answers).select("segment", "ids").toArrow()))
+    rare = texts.select("_k", "_text").mapInArrow(_rare(cutter, frequent), "_k long, segment string")
+    found = rare.join(answers.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
+    found = checkpointed(found)
+    release(spark)
+    none = F.array().cast("array<struct<segment:string,ids:array<int>>>")
+    whole = texts.join(found, "_k", "left").select("_id", "_text", F.coalesce("_rare", none).alias("_rare"))
+    return whole.mapInArrow(_fill(cutter, frequent, pieces.as_bytes() if check else None), "_id long, n_tokens long, token_ids array<int>" + ", sha string, ok boolean" * check)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ import pytest
 from siteloom.llm import sentencepiece_lattice as sl
 
 sentencepiece = pytest.importorskip("sentencepiece")
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def texts():
 
 
 def test_like_library_and_round_trip(spark, library, monkeypatch):
-    monkeypatch.setattr(sl, "CACHE", 60)
+    monkeypatch.setattr(sl, "CACHE_BYTES", 2000)
     data = [(i, t) for i, t in enumerate(texts())] + [(900, None), (7, texts()[7]), (None, "null id")]
     df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, token_ids string").repartition(3)
     got = sl.round_trip(df).collect()
@@ -76,3 +78,11 @@ def test_viterbi_scores_like_the_librarys_best_path(spark):
     for text in ["the", "of the people", "reading and writing", "internationalisation of words", "Hello world again"]:
         best = unigram.nbest_encode_as_ids(text, 4)[0]
         assert sum(pieces.score[i] for i in best) == sum(pieces.score[i] for i in brute(sl.prepared(text), pieces))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_whole_table_like_library(spark, library):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = sl.round_trip(docs).collect()
+    assert len(got) == len(text) and all(r.decoded_equal and list(r.token_ids) == library.encode(text[r.doc_id] or "") for r in got)
