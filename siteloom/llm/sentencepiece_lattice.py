@@ -48,11 +48,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNK_PENALTY = 10.0
 #: Bytes of segments and ids that are broadcast.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 16 << 20
 #: Characters of a segment whose bounds fit the bits of a long, and of a block of a longer one.
 BITS = 62
-#: Characters of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.
-PART, TOGETHER = 1 << 19, 24
+#: Bytes of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.
+PART, TOGETHER = 1 << 19, 8
 _RUN = 256
 _H = Family(51)
 
@@ -158,17 +158,14 @@ class Cut:
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str | None]]]:
-    """(from, to, texts) in parts of about PART characters."""
-    texts = batch.column("_text").to_pylist()
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 1
-        if i > at and size + n > PART:
-            yield at, i, texts[at:i]
-            at, size = i, 0
-        size += n
-    if texts:
-        yield at, len(texts), texts[at:]
+    """(from, to, texts) in parts of about PART bytes; only one part's texts are Python strings at a time."""
+    texts = batch.column("_text")
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, side="right")))
+        yield at, to, texts.slice(at, to - at).to_pylist()
+        at = to
 
 
 def _count(cutter: Cutter):
@@ -346,10 +343,12 @@ def encode_segments(segments: DataFrame, pieces: Pieces) -> DataFrame:
     longest, lowest = max(len(t) for t, _, _ in normal), min(s for _, _, s in normal)
     table = pieces.table(segments.sparkSession)
     if pieces.fold == "viterbi":
-        grouped = edges(segments, table, longest, lowest).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("_e"))
+        grouped = edges(segments.repartition("segment"), table, longest, lowest).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("_e"))
         paths = grouped.select(*own, viterbi(F.col("_e"), longest).alias("_p"))
         return paths.select(*own, F.flatten(F.transform("_p", lambda x: _ids(x["i"], F.substring(F.col("segment"), x["s"] + 1, F.lit(1)), pieces))).alias("ids"))
-    found = _merge_short(edges(segments.filter(F.length("segment") <= BITS), table, longest, lowest), own, pieces).select(*own, "ids")
+    # Dealt by segment before they are exploded, segments are grouped again without a shuffle of their edges.
+    short = segments.filter(F.length("segment") <= BITS).repartition("segment")
+    found = _merge_short(edges(short, table, longest, lowest), own, pieces).select(*own, "ids")
     long = checkpointed(segments.filter(F.length("segment") > BITS))
     if not long.head(1):
         return found
