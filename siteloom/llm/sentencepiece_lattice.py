@@ -53,6 +53,8 @@ CACHE_BYTES = 16 << 20
 BITS = 62
 #: Bytes of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.
 PART, TOGETHER = 1 << 19, 8
+#: Segments of a task of the lattice: each has some tens of edges, which are grouped within memory.
+TASK = 1 << 15
 _RUN = 256
 _H = Family(51)
 
@@ -338,16 +340,17 @@ def _merge_long(long: DataFrame, pieces: Pieces, table: DataFrame, longest: int,
 
 
 def encode_segments(segments: DataFrame, pieces: Pieces) -> DataFrame:
-    """The columns of segments and ids; its rows must be distinct in segment."""
+    """The columns of segments and ids; its rows must be distinct in segment, and cheap to read again."""
     own, normal = segments.columns, pieces.normal()
+    tasks = -(-segments.count() // TASK) or 1
     longest, lowest = max(len(t) for t, _, _ in normal), min(s for _, _, s in normal)
     table = pieces.table(segments.sparkSession)
     if pieces.fold == "viterbi":
-        grouped = edges(segments.repartition("segment"), table, longest, lowest).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("_e"))
+        grouped = edges(segments.repartition(tasks, "segment"), table, longest, lowest).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("_e"))
         paths = grouped.select(*own, viterbi(F.col("_e"), longest).alias("_p"))
         return paths.select(*own, F.flatten(F.transform("_p", lambda x: _ids(x["i"], F.substring(F.col("segment"), x["s"] + 1, F.lit(1)), pieces))).alias("ids"))
     # Dealt by segment before they are exploded, segments are grouped again without a shuffle of their edges.
-    short = segments.filter(F.length("segment") <= BITS).repartition("segment")
+    short = segments.filter(F.length("segment") <= BITS).repartition(tasks, "segment")
     found = _merge_short(edges(short, table, longest, lowest), own, pieces).select(*own, "ids")
     long = checkpointed(segments.filter(F.length("segment") > BITS))
     if not long.head(1):
