@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own only in a local session that names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="siteloom-")
 
 
@@ -37,6 +39,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and where; compressed, unlike a checkpoint, and read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more; it learns of that when the driver's JVM collects
     its garbage, which between large steps may not happen for long."""
@@ -48,6 +57,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch_path, wherever it is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_free{i}" for i in range(n + len(taken)))
+    return [x for x in names if x not in taken][:n]
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

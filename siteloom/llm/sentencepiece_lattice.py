@@ -41,14 +41,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import checkpointed, drop_scratch, release, written
 from .wordhash import Family, U, give_back, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNK_PENALTY = 10.0
 #: Bytes of segments and ids that are broadcast.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 40 << 20
 #: Characters of a segment whose bounds fit the bits of a long, and of a block of a longer one.
 BITS = 62
 #: Bytes of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.
@@ -465,13 +465,15 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: b
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("_k"))
     cutter = Cutter(pieces)
     counted = texts.select("_text").mapInArrow(_count(cutter), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    counted = checkpointed(counted)
-    answers = checkpointed(encode_segments(counted, pieces))
+    counted, at = written(counted, "segments")
+    answers, _ = written(encode_segments(counted, pieces), "answers")
+    drop_scratch(spark, at)
     release(spark)
     frequent = spark.sparkContext.broadcast(Answers.of(_frequent(answers).select("segment", "ids").toArrow()))
     rare = texts.select("_k", "_text").mapInArrow(_rare(cutter, frequent), "_k long, segment string")
     found = rare.join(answers.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
-    found = checkpointed(found)
+    # A table of its own, so that both sides of the next join are plain exchanges and rows that are equal as a whole are split.
+    found, _ = written(found, "rare")
     release(spark)
     none = F.array().cast("array<struct<segment:string,ids:array<int>>>")
     whole = texts.join(found, "_k", "left").select("_id", "_text", F.coalesce("_rare", none).alias("_rare"))
