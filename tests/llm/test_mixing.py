@@ -1,10 +1,13 @@
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 
 from siteloom.llm import mixing
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, source string, size int"
 
 
@@ -21,19 +24,20 @@ def water(sizes, weights, share=1.5, most=2.0):
         full |= over
 
 
-def corpus():
+def corpus(giant=40000):
     rng = random.Random(2)
     out = []
     for k in range(3000):
         s = rng.choice(["a", "a", "a", "a", "b", "c", "Z", "é", None, "d"])
         out.append((k, " \n".join(["w"] * rng.choice([0, 1, 3, 10, 50, 200])), s))
-    return out + [(5000, None, "b"), (5001, "", "none"), (5002, " x  y ", "c"), (5003, "w " * 40000, "a"), (7, "x y", "b"), (7, "x y", "b")]
+    return out + [(5000, None, "b"), (5001, "", "none"), (5002, " x  y ", "c"), (5003, "w " * giant, "a"), (7, "x y", "b"), (7, "x y", "b")]
 
 
-def test_targets_and_mix(spark):
-    data = corpus()
+@pytest.mark.parametrize(("giant", "block"), [(2000, 128), (40000, 1024)])
+def test_targets_and_mix(spark, giant, block):
+    data = corpus(giant)
     df = spark.createDataFrame([(*r, 0) for r in data], SCHEMA)
-    got = mixing.mix(df.repartition(3), block=128).collect()
+    got = mixing.mix(df.repartition(3), block=block).collect()
     assert len(got) == len(data)
     sizes, by = {}, {}
     for k, t, s in data:
@@ -49,10 +53,10 @@ def test_targets_and_mix(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         docs[r.source] = docs.get(r.source, 0) + r.copies
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s], 0.5 * max(by[s])), s
+        assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s]), s
         if sizes[s]:
-            assert abs(docs[s] - len(by[s]) * want[s] / sizes[s]) <= 4
-    again = mixing.mix(df.repartition(7), block=128).collect()
+            assert abs(docs[s] - len(by[s]) * want[s] / sizes[s]) <= 6, s
+    again = mixing.mix(df.repartition(7), block=block).collect()
     assert sorted((r.doc_id, r.size, r.taken) for r in again) == sorted((r.doc_id, r.size, r.taken) for r in got)
 
 
@@ -83,5 +87,23 @@ def test_flight_keeps_totals_and_chances():
     assert np.abs(total / 600 - 0.3).max() < 0.1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_whole_table_near_targets(spark):
+    by = {}
+    for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        by.setdefault(r.source, []).append(r)
+    assert len(by) > 10
+    for rows in by.values():
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 0.01 * rows[0].target + 2
+        assert abs(sum(r.copies for r in rows) - len(rows) * rows[0].target / rows[0].source_size) <= 3
+
+
+def test_column_names_that_are_used_inside(spark):
+    names = ["_free0", "_free1", "_s", "_p", "__a", "__n", "__i"]
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), "ab"[k % 2], *[f"{n}{k}" for n in names]) for k in range(60)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    rows = mixing.draw(df)
+    assert rows.columns == df.columns and all(r[n] == f"{n}{r.doc_id}" for r in rows.collect() for n in names)
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
