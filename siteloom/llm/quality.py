@@ -1,20 +1,22 @@
 """Operator 4: a quality classifier by attention-based multiple-instance learning (Ilse, Tomczak and Welling, 2018).
 
-A document is a bag of passages of PASSAGE words each; all of its words are in one. A passage is encoded by frequencies of its bytes
-and by how its words repeat; the learned encoder turns that into h, gated attention gives each passage a weight
+A document is a bag of passages of PASSAGE words each; all of its words are in one. A passage is described by the frequencies of its
+hashed byte trigrams (across word ends, so in any script), those of its single bytes, and how its words repeat; the learned encoder
+turns that into h, gated attention gives each passage a weight
 
     a = softmax over the document of w . (tanh(V h) * sigmoid(U h))
 
 and the score is the sigmoid of a linear map of the weighted sum of the h. Only the document's label is learned from. Scores depend
 on the text alone.
 
-Training takes a bounded sample: of the documents labelled 1 and of those labelled 0 the TRAIN_DOCS each with the smallest hash of
-their id, and of each TRAIN_PASSAGES passages at most, evenly spaced (a scored document uses all of its passages). Everything else
-runs over all rows; a document's passages are folded as they are read, so a long document costs its own text and no more.
+Training takes a bounded sample of labelled rows: of those labelled 1 and of those labelled 0 the TRAIN_DOCS each with the smallest
+hash of their id, and of these the first, in the order of the hash, that hold TRAIN_PASSAGES passages together, at least one of each
+label. All passages of a document in the sample are trained on. Everything else runs over all rows; a document's passages are
+folded as they are read, so a long document costs its own text and no more.
 
 Defined results: null and empty texts are one passage without words and get a score like any other; rows that share an id are
 scored one by one; a document with several labels counts as 1 if their mean is 0.5 or more, null labels are left out; with no
-labels of one kind at all every score is the share of label 1 (0.5 without labels); other columns are never read.
+labels of one kind at all every score is the share of label 1 (0.5 without labels); other columns are never read and may have any names.
 """
 
 from __future__ import annotations
@@ -26,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_names
 from .wordhash import Family, Texts, chunks
 
 PASSAGE = 64
 TRAIN_DOCS = 1500
-TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 40_000
 HIDDEN, GATE = 24, 12
 FEW = 4
-EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
-#: Bytes are counted one by one up to 0x7F; the others are one class.
-CLASSES = 129
-FEATURES = CLASSES + 5
+EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.01, 1e-4
+#: Bytes are counted one by one up to 0x7F; the others are one class. What tells scripts and languages apart are the trigrams.
+CLASSES, TRIGRAMS = 129, 1024
+FEATURES = TRIGRAMS + CLASSES + 5
 _H = Family(41)
 
 
@@ -54,21 +56,26 @@ def passages(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     at = np.repeat(t.starts - np.concatenate(([0], np.cumsum(size)[:-1])) if words else t.starts, size) + np.arange(len(inside))
     kind = np.minimum(t.bytes[at].astype(np.int64), CLASSES - 1)
     counts = np.bincount(inside * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES)
+    # A text's bytes stand between spaces in the buffer, so there is a byte on either side of each.
+    b = t.bytes.astype(np.uint32)
+    gram = ((b[at - 1] << 16 | b[at] << 8 | b[at + 1]) * np.uint32(0x9E3779B1)) >> np.uint32(22)
+    grams = np.bincount(inside * TRIGRAMS + gram, minlength=total * TRIGRAMS).reshape(total, TRIGRAMS)
     x = np.zeros((total, FEATURES), dtype=np.float32)
     n_bytes = counts.sum(axis=1)
-    x[:, :CLASSES] = counts / np.maximum(1, n_bytes)[:, None]
+    some_bytes = np.maximum(1, n_bytes)[:, None]
+    x[:, :TRIGRAMS], x[:, TRIGRAMS : TRIGRAMS + CLASSES] = grams / some_bytes, counts / some_bytes
     n_in = np.bincount(of_word, minlength=total)
-    some = np.maximum(1, n_in)
+    some, tail = np.maximum(1, n_in), TRIGRAMS + CLASSES
     if words:
         h = _H.words(t)
         order = np.lexsort((h, of_word))
         new = np.append(True, (h[order][1:] != h[order][:-1]) | (of_word[order][1:] != of_word[order][:-1]))
-        x[:, CLASSES] = np.bincount(of_word[order][new], minlength=total) / some
+        x[:, tail] = np.bincount(of_word[order][new], minlength=total) / some
         echo = np.append(False, (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1]))
-        x[:, CLASSES + 1] = np.bincount(of_word[echo], minlength=total) / some
-        x[:, CLASSES + 2] = np.bincount(of_word[size == 1], minlength=total) / some
-        x[:, CLASSES + 3] = n_bytes / some / 16
-    x[:, CLASSES + 4] = n_in / PASSAGE
+        x[:, tail + 1] = np.bincount(of_word[echo], minlength=total) / some
+        x[:, tail + 2] = np.bincount(of_word[size == 1], minlength=total) / some
+        x[:, tail + 3] = n_bytes / some / 16
+    x[:, tail + 4] = n_in / PASSAGE
     return begin, x
 
 
@@ -82,7 +89,7 @@ class Model:
         self.p = {k: rng.normal(0, (s[0] if s else 1) ** -0.5, s) if len(s) > 1 else np.zeros(s) for k, s in self.SHAPES.items()}
         self.p["w"] = rng.normal(0, 0.3, GATE)
         self.p["c"] = rng.normal(0, 0.3, HIDDEN)
-        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
+        self.mean, self.scale = np.zeros(FEATURES, dtype=np.float32), np.ones(FEATURES, dtype=np.float32)
 
     def forward(self, x: np.ndarray, begin: np.ndarray) -> tuple:
         """begin: the first row of each bag; none may be empty."""
@@ -119,8 +126,10 @@ class Model:
     def fit(self, bags: list[np.ndarray], label: np.ndarray, seed: int = 8) -> None:
         """Adam over batches of bags, in an order that the seed fixes."""
         rng = np.random.default_rng(seed)
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0, dtype=float), every.std(axis=0, dtype=float) + 1e-3
+        n = sum(map(len, bags))
+        self.mean = (sum(b.sum(axis=0, dtype=float) for b in bags) / n).astype(np.float32)
+        square = sum(((b - self.mean) ** 2).sum(axis=0, dtype=float) for b in bags) / n
+        self.scale = (np.sqrt(square) + 1e-3).astype(np.float32)
         one, two = ({k: np.zeros(s) for k, s in self.SHAPES.items()} for _ in range(2))
         step = 0
         for epoch in range(EPOCHS):
@@ -138,15 +147,13 @@ class Model:
 
 
 def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bags of the training sample."""
+    """Bags of the training sample, in half precision."""
     for batch in it:
         for lo, hi, part in chunks(batch.column("_text").to_pylist()):
             begin, x = passages(Texts(part))
-            bags = []
-            for a, b in zip(begin[:-1], begin[1:], strict=True):
-                pick = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).round().astype(int))
-                bags.append(x[pick].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), batch.column("_y").slice(lo, hi - lo), pa.array(bags, pa.binary())], names=["_id", "_y", "bag"])
+            bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            rest = [batch.column(c).slice(lo, hi - lo) for c in ("_id", "_y", "_h")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(begin)), pa.array(bags, pa.binary())], names=["_id", "_y", "_h", "n", "bag"])
 
 
 def _score(model: Model, text: str, name: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -163,12 +170,12 @@ def _score(model: Model, text: str, name: str, whole: bool) -> Callable[[Iterato
 
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, n: int = TRAIN_DOCS) -> DataFrame:
-    """_id, _y: the sample's ids and labels, 2 n rows at most; held-out ids never enter."""
+    """_id, _y, _h: the sample's ids, labels and hashes, 2 n rows at most; held-out ids never enter."""
     y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
     one = y.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id"))
     ids = one.join(df.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     take = lambda v: ids.filter(F.col("_y") == v).orderBy("_h", "_id").limit(n)
-    return take(0).union(take(1)).select("_id", "_y")
+    return take(0).union(take(1)).select("_id", "_y", "_h")
 
 
 def held_out(id_col: Column) -> Column:
@@ -179,13 +186,22 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = checkpointed(training_rows(df, labels, id_col, label_col))
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # 2 * TRAIN_DOCS rows at most: broadcast within that bound. Rows that share an id give a bag each, of which the first is used.
-    chosen = texts.join(F.broadcast(sample), "_id")
-    rows = chosen.mapInArrow(_encode, "_id long, _y int, bag binary").groupBy("_id", "_y").agg(F.min("bag").alias("bag")).collect()
-    rows = sorted(rows, key=lambda r: r["_id"])
+    chosen = texts.join(F.broadcast(sample), "_id").mapInArrow(_encode, "_id long, _y int, _h long, n long, bag binary")
+    bags = checkpointed(chosen.groupBy("_id", "_y", "_h").agg(F.min("n").alias("n"), F.min_by("bag", F.struct("n", "bag")).alias("bag")))
+    sizes = sorted(bags.select("_id", "_y", "_h", "n").collect(), key=lambda r: (r["_h"], r["_id"]))
+    taken, left = set(), TRAIN_PASSAGES
+    for y in (0, 1):
+        taken |= {r["_id"] for r in [r for r in sizes if r["_y"] == y][:1]}
+    for r in sizes:
+        left -= r["n"]
+        if left < 0:
+            break
+        taken.add(r["_id"])
+    rows = sorted(bags.filter(F.col("_id").isin(list(taken))).select("_id", "_y", "bag").collect() if taken else [], key=lambda r: r["_id"])
     label = np.array([r["_y"] for r in rows], dtype=float)
     model = Model()
     if len(rows) and 0 < label.mean() < 1:
-        model.fit([np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in rows], label)
+        model.fit([np.frombuffer(r["bag"], dtype=np.float16).reshape(-1, FEATURES) for r in rows], label)
     else:
         share = float(np.clip(label.mean() if len(rows) else 0.5, 1e-6, 1 - 1e-6))
         model.p = {k: np.zeros(s) for k, s in Model.SHAPES.items()} | {"d": np.log(share / (1 - share))}
@@ -200,5 +216,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of df whose score is 0.5 or more, with all their columns."""
-    scored = df.mapInArrow(_score(model, text_col, "__score", True), f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, __score double")
-    return scored.filter("__score >= 0.5").drop("__score")
+    name = free_names(df, 1)[0]
+    scored = df.mapInArrow(_score(model, text_col, name, True), f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, {name} double")
+    return scored.filter(F.col(name) >= 0.5).drop(name)

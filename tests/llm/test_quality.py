@@ -6,6 +6,8 @@ import numpy as np
 from siteloom.llm import quality
 from siteloom.llm.wordhash import Texts
 
+T = quality.TRIGRAMS
+
 
 def corpus():
     rng = random.Random(1)
@@ -48,7 +50,9 @@ def test_gradient_and_passages():
     t = Texts([b"aa b " * 100, b"", b"x", "é É!".encode()])
     begin, x = quality.passages(t)
     assert begin.tolist() == [0, 4, 5, 6, 7] and x.shape == (7, quality.FEATURES)
-    assert np.allclose(x[0, ord("a")], 2 / 3) and x[4].sum() == 0 and np.allclose(x[6, 128], 4 / 5)
+    assert np.allclose(x[0, T + ord("a")], 2 / 3) and x[4].sum() == 0 and np.allclose(x[6, T + 128], 4 / 5)
+    one, gram = b" x ", lambda a: (int.from_bytes(a, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 22
+    assert x[5, gram(one)] == 1 and np.allclose(x[:, :T].sum(axis=1), [1, 1, 1, 1, 0, 1, 1])
     m = quality.Model()
     m.mean, m.scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 1e-3
     y = np.array([1.0, 0.0, 1.0, 0.0])
@@ -58,7 +62,7 @@ def test_gradient_and_passages():
         return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
 
     g = m.gradient(x, begin[:-1], y)
-    for k, at in (("E", (97, 3)), ("e", (2,)), ("V", (1, 2)), ("U", (3, 4)), ("w", (5,)), ("c", (6,))):
+    for k, at in (("E", (T + 97, 3)), ("E", (gram(one), 0)), ("e", (2,)), ("V", (1, 2)), ("U", (3, 4)), ("w", (5,)), ("c", (6,))):
         had = m.p[k][at]
         m.p[k][at] = had + 1e-5
         up = loss()
@@ -66,3 +70,29 @@ def test_gradient_and_passages():
         down = loss()
         m.p[k][at] = had
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6, k
+
+
+def test_scores_like_plain_loops(spark):
+    """The forward pass, restated number by number, over whole documents."""
+    import math
+
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    m = quality.train(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    p = {k: np.asarray(v, dtype=float) for k, v in m.p.items()}
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    wanted = {k: t for k, t in docs if k in (1, 2, 5, 10, 15, 33, 901)}
+    for r in [r for r in quality.score(df, m).collect() if r.doc_id in wanted]:
+        _, x = quality.passages(Texts([wanted[r.doc_id].encode()]))
+        hidden, scores = [], []
+        for row in x.tolist():
+            words = row[-1] * quality.PASSAGE
+            z = [min(8, max(-8, (v - a) / b)) for v, a, b in zip(row, m.mean.tolist(), m.scale.tolist(), strict=True)]
+            z = [v * words / (words + quality.FEW) for v in z[:-1]] + z[-1:]
+            h = [math.tanh(sum(z[i] * p["E"][i, j] for i in range(len(z))) + p["e"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[i] * p["V"][i, j] for i in range(len(h)))) * sigmoid(sum(h[i] * p["U"][i, j] for i in range(len(h)))) for j in range(quality.GATE)]
+            hidden.append(h)
+            scores.append(sum(g * w for g, w in zip(gate, p["w"].tolist(), strict=True)))
+        weight = [math.exp(v) / sum(map(math.exp, scores)) for v in scores]
+        bag = [sum(a * h[j] for a, h in zip(weight, hidden, strict=True)) for j in range(quality.HIDDEN)]
+        assert abs(sigmoid(sum(a * b for a, b in zip(bag, p["c"].tolist(), strict=True)) + float(p["d"])) - r.score) < 1e-4
