@@ -5,22 +5,26 @@ header block, its type and the digest of its payload. `records_with_payload` joi
 is verified twice: at writing, rows that share it must agree in length, SHA-1 and a 64-bit hash; at reading, the stored bytes must
 give the address again. A failure raises.
 
-Defined results: null html is an empty payload, null url an empty target; CR and LF in a url are percent-encoded, as a header line
-can't hold them; records that tie in payload and largest page_id are all responses; null page_ids are written as 'null' and read
-back as null; other columns are never read.
+Defined results: null html is an empty payload; a null url has no target line and is read back as null; CR, LF and the escape sign
+\\ of a url are written as \\r, \\n and \\\\, as a header line can't hold them, and read back as they were; records that tie in payload and
+largest page_id are all responses; null page_ids are written as 'null' and read back as null; payloads of any length are one value;
+other columns are never read and may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, scratch_path
+from .common import checkpointed, release, scratch_path
 
 #: Payloads from this many bytes on are revisited; smaller ones cost less than the revisit record.
 REVISIT_FROM = 1000
 CRLF = "\r\n"
 _NULL_ID = -(1 << 63)
+LINE_ESCAPES = [("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n")]
 
 
 def _payload(col: str) -> Column:
@@ -37,14 +41,14 @@ def http_head(n_bytes: Column) -> Column:
 
 def header_block(record_type: Column, page_id: Column, url: Column, sha1: Column, n_bytes: Column, refers_to: Column, date: str) -> Column:
     """All of a record before its payload: WARC header, blank line, HTTP head."""
-    target = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    target = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), LINE_ESCAPES, url)
     http = http_head(n_bytes)
     revisit = record_type == "revisit"
     content = F.length(http).cast("long") + F.when(revisit, F.lit(0)).otherwise(n_bytes)
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), record_type,
         F.lit(f"{CRLF}WARC-Record-ID: "), _record_id(page_id),
-        F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), target,
+        F.lit(f"{CRLF}WARC-Date: {date}"), F.coalesce(F.concat(F.lit(f"{CRLF}WARC-Target-URI: "), target), F.lit("")),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), sha1,
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), _record_id(refers_to))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), content.cast("string"),
@@ -86,13 +90,20 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return stored.filter(F.assert_true(F.sha2("payload", 256) == F.col("address"), "a stored payload doesn't match its digest").isNull())
 
 
+def _target() -> Column:
+    """The url of a header block; a backslash pair is set aside while the other signs are restored."""
+    line = F.nullif(F.regexp_extract("header", "\r\nWARC-Target-URI: [^\r\n]*\r\n", 0), F.lit(""))
+    parts = F.split(F.substring(line, 20, F.length(line) - 21), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\r"), F.lit("\r")), F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records, parsed from their header blocks: page_id, url, record_type, refers_to, sha1, address, header."""
     rec = spark.read.parquet(f"{path}/records")
     field = lambda name, what: F.regexp_extract("header", f"\r\n{name}: {what}\r\n", 1)
     number = lambda s: F.expr(f"try_cast({s} as bigint)")
     return rec.select(
-        field("WARC-Record-ID", "<urn:page:([^>]*)>").alias("_id"), field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
+        field("WARC-Record-ID", "<urn:page:([^>]*)>").alias("_id"), _target().alias("url"),
         F.regexp_extract("header", "^WARC/1\\.1\r\nWARC-Type: (\\w+)\r\n", 1).alias("record_type"),
         field("WARC-Refers-To", "<urn:page:([^>]*)>").alias("_ref"), field("WARC-Payload-Digest", "sha1:([0-9a-f]{40})").alias("sha1"),
         "address", "header",
@@ -100,24 +111,35 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records_with_payload(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the original record bytes: header block, payload unless a revisit, two line ends."""
-    rec = read_records(spark, path)
-    full = rec.join(read_payloads(spark, path), "address")
+    """page_id, record_type, refers_to, sha1, header, payload and record: the original record bytes, that is header block, payload unless
+    a revisit, two line ends. Both sides of the join are scans, so a payload that many records share is split."""
+    full = read_records(spark, path).join(read_payloads(spark, path), "address")
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return full.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    return full.select("page_id", "record_type", "refers_to", "sha1", "header", "payload", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def archive_digest(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the archive; digest and length are of the stored bytes."""
-    stored = checkpointed(read_payloads(spark, path).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")))
-    rec = read_records(spark, path).select("page_id", "record_type", "refers_to", "sha1", "address")
-    both = rec.join(stored, "address")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the rebuilt records.
+
+    A response's payload is what stands behind the headers of its record; a revisit's, which has none, is that of the record it refers
+    to. Each record must be as long as its own header says, and its payload must give the digest that the header names.
+    """
+    rec = records_with_payload(spark, path)
+    head = F.octet_length(F.encode("header", "UTF-8"))
+    revisit = F.col("record_type") == "revisit"
+    body = F.when(revisit, F.col("payload")).otherwise(F.substring("record", head + 1, F.octet_length("record") - head - 4))
+    block = F.octet_length("record") - 4 - F.octet_length(F.encode(F.substring_index("header", CRLF * 2, 1), "UTF-8")) - 4
+    said = F.regexp_extract("header", "msgtype=response\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long")
+    found = rec.select("page_id", "record_type", "refers_to", "sha1", block.cast("long").alias("_block"), said.alias("_said"), body.alias("_body"))
+    found = found.select("*", F.octet_length("_body").cast("long").alias("payload_bytes"), F.sha1("_body").alias("payload_digest"))
+    long = F.assert_true(F.col("_block") == F.col("_said"), "a record's length isn't its header's").isNull()
     same = F.assert_true(F.col("sha1") == F.col("payload_digest"), "a header's digest isn't its payload's").isNull()
-    return both.filter(same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.filter(long & same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages to an archive in the shared folder and read it back."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archive(pages, path)
+    release(pages.sparkSession)
     return archive_digest(pages.sparkSession, path)
