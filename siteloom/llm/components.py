@@ -12,15 +12,18 @@ def _hang(links: DataFrame, large: bool) -> DataFrame:
     """One star operation on links (a, b): each node's larger (or smaller) neighbours are linked to its least one.
 
     Only least neighbours are aggregated, never whole neighbourhoods, so a node with very many links costs one partial sum a task.
+    Centres of large stars are hot keys of the join: their table is checkpointed first, so both sides are plain exchanges, which
+    adaptive execution splits. After a large star no node has many smaller neighbours.
     """
     if large:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both["a"] == least["n"])
     if large:
-        return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        joined = both.filter("b > a").join(checkpointed(least), F.col("a") == F.col("n"))
+        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    joined = both.join(least, both["a"] == least["n"])
     own = least.select(F.col("n").alias("a"), F.col("m").alias("b"))
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).filter("a <> b").distinct()
 

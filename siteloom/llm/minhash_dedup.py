@@ -5,7 +5,8 @@ weighted shingle sends arrivals of a Poisson process to REGISTERS registers, one
 comes after an exponential wait of rate weight * (REGISTERS - i), and stops as soon as it is later than every register's earliest
 arrival. A register's earliest shingle agrees between two texts with their probability Jaccard similarity, which is the Jaccard
 similarity of the sets where weights are equal. BANDS bands of REGISTERS / BANDS registers give candidates; a link needs a Jaccard
-similarity of THRESHOLD between the shingle sets, computed exactly over 64-bit shingle hashes.
+similarity of THRESHOLD between the shingle sets, computed exactly over 64-bit shingle hashes. Weights only steer which candidates
+are met; what counts as a link is the unweighted similarity.
 
 Texts with equal shingle sets are one class from the start; only its least id goes on. In a bucket every member is compared with
 the bucket's least id, not with each other. What these links leave in different components is compared again, within buckets,
@@ -13,11 +14,13 @@ but for pairs that exact bounds rule out (see _left_over). So every candidate pa
 unlike, while large groups of near copies cost a few comparisons a member.
 
 Defined results: texts without words are near nothing and stand alone; rows that share an id count as one document; a null id is
-compared as the least long and given back as null; other columns are never read.
+compared as the least long and given back as null; a text of any length is one set; other columns are never read and may have any
+names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import checkpointed, free_names, release
 from .components import connected_components
 from .wordhash import Family, Texts, U, chunks, give_back, mix
 
@@ -185,7 +188,8 @@ def _with_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
     part = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     parted = checkpointed(rows.join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component"))
     several = parted.groupBy("band", "bucket").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p < _q").select("band", "bucket")
-    return checkpointed(parted.join(several, ["band", "bucket"], "left_semi"))
+    # Checkpointed, so that both sides of the join are plain exchanges and a hot bucket is split.
+    return checkpointed(parted.join(checkpointed(several), ["band", "bucket"], "left_semi"))
 
 
 def _left_over(met: DataFrame, scored: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -226,13 +230,22 @@ def _left_over(met: DataFrame, scored: DataFrame, links: DataFrame, sets: DataFr
         return links
     # Members of a bucket's largest component are never paired among themselves.
     largest = rows.groupBy("band", "bucket", "part").count().groupBy("band", "bucket").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
-    outer = rows.join(checkpointed(largest), ["band", "bucket"]).filter("part <> most").drop("most")
-    rest = pairs(side(outer, "a").join(side(rows, "b"), ["band", "bucket"])).join(seen, ["a", "b"], "left_anti")
+    outer = checkpointed(rows.join(checkpointed(largest), ["band", "bucket"]).filter("part <> most").drop("most"))
+    # Of a pair that reaches the threshold neither set is larger than 1 / threshold times the other, and the distances to the leader
+    # differ by 1 - threshold at most: classes of both, and the neighbouring ones, are keys of the join.
+    kind = lambda c, step: F.floor(c / F.lit(step)).cast("int")
+    kinds = lambda df: df.withColumns({"_n": kind(F.log("n"), -math.log(threshold) + 1e-9), "_d": kind(F.col("d"), 1 - threshold + 1e-9)})
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    keys = ["band", "bucket", "_n", "_d"]
+    wide = lambda df, x: df.select(*keys, *[F.col(c).alias(c + x) for c in ("rep", "part", "d", "n", "s", "c")])
+    met_rest = wide(kinds(outer).withColumn("_n", near("_n")).withColumn("_d", near("_d")), "a").join(wide(kinds(rows), "b"), keys)
+    rest = pairs(met_rest).join(seen, ["a", "b"], "left_anti")
     more = checkpointed(_similarity(checkpointed(rest), sets))
     return links.union(more.filter(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, one document of each class, with all their columns."""
-    gone = checkpointed(near_duplicates(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct())
-    return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    name = free_names(df, 1)[0]
+    gone = checkpointed(near_duplicates(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias(name)).distinct())
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

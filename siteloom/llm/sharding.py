@@ -4,11 +4,11 @@ The walk multiplies a 64-bit state by a constant modulo 2^64. Spark's arithmetic
 32-bit limbs in longs and the constant as four 16-bit ones; no partial product exceeds 2^50.
 
 Slots number the rows of a shard from 0 without gaps. A shard is not sorted as a whole: it is cut into BUCKETS by the state
-after the first step, rows are numbered within a bucket, and a table of shards x BUCKETS counts (a proven bound) gives each
-bucket's first slot.
+after the first step (more of them where a shard would have over BUCKET_ROWS rows in each), rows are numbered within a bucket, and
+a table of shards x buckets counts, a row for a million or so of the input, gives each bucket's first slot.
 
 Defined results: a null key hashes as 0; null text has size 16 and a null checksum; rows that share a key share a shard and get
-different slots; other columns are never read.
+different slots; a text of any length counts whole; other columns are never read and may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ MULTIPLIER = 2862933555777941757
 LIMBS = [(MULTIPLIER >> s) & 0xFFFF for s in (0, 16, 32, 48)]
 SPAN = float(1 << 31)
 BUCKETS = 64
+BUCKET_ROWS = 1 << 20
 
 
 def _low_part(product: Column) -> Column:
@@ -63,9 +64,10 @@ def jump_hash(key: Column, *shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, walk, lambda s: F.array(*[s[f"b{n}"].cast("int") for n in shards]))
 
 
-def shard(df: DataFrame, n_shards: int, key_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, key_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (the shard among n_shards + 1)."""
     key = F.col(key_col)
+    buckets = buckets or max(BUCKETS, -(-df.count() // (n_shards * BUCKET_ROWS)))
     placed = df.select(
         key,
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16).alias("size"),
@@ -73,7 +75,7 @@ def shard(df: DataFrame, n_shards: int, key_col: str = "doc_id", text_col: str =
         jump_hash(key, n_shards, n_shards + 1).alias("_b"),
         F.pmod(first_draw(key), F.lit(buckets)).cast("int").alias("_bucket"),
     ).select(key, "size", "text_crc32", F.col("_b")[0].alias("shard"), F.col("_b")[1].alias("grown_shard"), "_bucket")
-    # At most n_shards x buckets rows: broadcast within that bound.
+    # n_shards x BUCKETS rows or a row for BUCKET_ROWS of df: broadcast within that bound.
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     firsts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
