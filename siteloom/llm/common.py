@@ -48,7 +48,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more; it learns of that when the driver's JVM collects
-    its garbage, which between large steps may not happen for long."""
+    its garbage, which between large steps may not happen for long. What ran last is held until something else runs."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -48,7 +48,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNK_PENALTY = 10.0
 #: Bytes of segments and ids that are broadcast.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 24 << 20
 #: Characters of a segment whose bounds fit the bits of a long, and of a block of a longer one.
 BITS = 62
 #: Bytes of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.

@@ -2,6 +2,8 @@ import hashlib
 import re
 import zlib
 
+import pytest
+
 from siteloom.llm import chat_format, exact_dedup, sharding
 
 
@@ -58,6 +60,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_exact_dedup_with_names_used_inside(spark, monkeypatch, small):
+    monkeypatch.setattr(exact_dedup, "SMALL", small)
+    names = ["_free0", "_sha", "_keep", "_g", "_len", "_pre", "text_sha256", "keep_id", "group_size"]
+    texts = ["a  b", "a b", "c", "c", "d" * 300 + "1", "d" * 300 + "2", None, ""]
+    df = spark.createDataFrame([(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    stay = exact_dedup.drop_exact_copies(df)
+    assert stay.columns == df.columns
+    assert sorted(stay.collect()) == sorted(r for r in df.collect() if r.doc_id in (0, 2, 4, 5, 6))
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(df).filter("kept").collect()) == [0, 2, 4, 5, 6]
+
+
 def test_chat(spark):
     mark = chat_format.MARK
     rows = [
