@@ -20,9 +20,10 @@ all the same. A single character that is no piece is written as the pieces of it
 score less 10.
 
 The ids then go back to the texts by a join that is split by heat: the most frequent segments, CACHE_BYTES at most, are broadcast;
-each other one is a row (text's key, segment), joined to the lattice's answers and gathered by text, and the texts are shuffled once
-to meet them. A segment outside the broadcast table can't be hot, as many others are more frequent. In Python texts are cut,
-segments are looked up by a 64-bit hash and ids are laid end to end; no text is encoded there.
+each other one is a row (text's key, segment), joined to the lattice's answers and gathered by text. The texts meet them as lists of
+numbers, each a segment's place in the broadcast table or a gap, in a byte or two where the segment is frequent. A segment outside the
+broadcast table can't be hot, as many others are more frequent. In Python texts are cut, segments are looked up by a 64-bit hash
+and ids are laid end to end; no text is encoded there.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is read back as a space; equal rows give equal results, one
 each; a null id stays null; other columns are never read. A text's segments may have any length; the edges of one segment are one
@@ -52,7 +53,7 @@ CACHE_BYTES = 24 << 20
 #: Characters of a segment whose bounds fit the bits of a long, and of a block of a longer one.
 BITS = 62
 #: Bytes of text that are cut at once (a longer text is taken alone), and such parts whose segments are counted together.
-PART, TOGETHER = 1 << 19, 8
+PART, TOGETHER = 1 << 17, 32
 #: Segments of a task of the lattice: each has some tens of edges, which are grouped within memory.
 TASK = 1 << 15
 _RUN = 256
@@ -359,24 +360,28 @@ def encode_segments(segments: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Answers:
-    """Segments' ids by the segments' hashes."""
+    """Segments' ids by the segments' hashes; the places of segments are in the order of how frequent they are."""
 
-    def __init__(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
-        self.h, at = np.unique(h, return_index=True)
-        self.begin, self.size, self.ids = (np.cumsum(sizes) - sizes)[at], sizes[at], ids
+    def __init__(self, segments: pa.Array, ids: pa.ListArray, n: np.ndarray | None = None):
+        h = _segment_hashes(segments.to_pylist())
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, self.ids = np.cumsum(sizes) - sizes, pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+        order = np.lexsort((h, -n)) if n is not None else np.arange(len(h))
+        self.begin, self.size = begin[order], sizes[order].astype(np.int32)
+        self.h, first = np.unique(h[order], return_index=True)
+        self.place = first.astype(np.int32)
 
     @classmethod
-    def of(cls, table: pa.Table | pa.StructArray) -> Answers:
-        segments, lists = (pc.struct_field(table, c) if isinstance(table, pa.StructArray) else table.column(c).combine_chunks() for c in ("segment", "ids"))
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        return cls(_segment_hashes(segments.to_pylist()), sizes, pc.list_flatten(lists).to_numpy(zero_copy_only=False))
+    def of(cls, table: pa.Table) -> Answers:
+        segments, ids = (table.column(c).combine_chunks() for c in ("segment", "ids"))
+        return cls(segments, ids, table.column("n").to_numpy())
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 where it isn't known."""
         if not len(self.h):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        return np.where(self.h[at] == h, self.place[at], -1)
 
     def lay(self, out: np.ndarray, to: np.ndarray, at: np.ndarray) -> None:
         """Write the ids of the segments at the places at into out, each from its place in to on."""
@@ -403,19 +408,76 @@ def _rare(cutter: Cutter, frequent):
     return run
 
 
-def _fill(cutter: Cutter, frequent, decoded: list[bytes] | None):
-    """_id, n_tokens, token_ids; with decoded also the text's digest and whether the decoded ids give it."""
+def written_short(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each number ends): seven bits a byte, the lowest first, the eighth set where more follow."""
+    n = 1 + (v >= 1 << 7).astype(np.int64) + (v >= 1 << 14) + (v >= 1 << 21) + (v >= 1 << 28)
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    for k in range(int(n.max()) if len(n) else 0):
+        on = np.flatnonzero(n > k)
+        out[(ends - n)[on] + k] = ((v[on] >> (7 * k)) & 127) | ((n[on] > k + 1) << 7)
+    return out, ends
+
+
+def read_short(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where each ends)."""
+    ends = np.flatnonzero(b < 128) + 1
+    begins = np.append(0, ends)[: len(ends)]
+    v, n = np.zeros(len(ends), dtype=np.int64), ends - begins
+    for k in range(int(n.max()) if len(n) else 0):
+        on = np.flatnonzero(n > k)
+        v[on] |= (b[begins[on] + k].astype(np.int64) & 127) << (7 * k)
+    return v, ends
+
+
+def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """data from each bound to the next, as binary."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _pack(cutter: Cutter, frequent):
+    """_id, _k, sha and the segments of each text: places (one more than in the broadcast table, 0 for a gap) and the gaps' hashes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Answers = frequent.value
         for batch in it:
             for lo, hi, texts in _parts(batch):
                 cut = Cut(cutter, texts)
-                own = Answers.of(pc.list_flatten(batch.column("_rare").slice(lo, hi - lo)))
-                at = known.find(cut.h)
-                here = np.flatnonzero(at >= 0)
-                gaps = np.flatnonzero(at < 0)
-                to = own.find(cut.h[gaps])
+                at = known.find(cut.h) + 1
+                data, ends = written_short(at)
+                gaps = np.flatnonzero(at == 0)
+                sha = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).digest() for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(lo, hi - lo) for c in ("_id", "_k")]
+                    + [pa.array(sha, pa.binary()), _slices(data, np.append(0, ends)[cut.first]), _slices(cut.h[gaps].view(np.uint8), 8 * np.searchsorted(gaps, cut.first))],
+                    names=["_id", "_k", "sha", "places", "gaps"],
+                )
+        give_back()
+
+    return run
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all values of a binary column, where each value begins and one past the last)."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.uint8), np.append(0, np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values))))
+
+
+def _fill(frequent, decoded: list[bytes] | None):
+    """_id, n_tokens, token_ids, sha; with decoded also whether the decoded ids give the text of that digest."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Answers = frequent.value
+        for batch in it:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                rare = pc.list_flatten(part.column("_rare"))
+                own = Answers(*(pc.struct_field(rare, c) for c in ("segment", "ids")))
+                data, bounds = _joined(part.column("places"))
+                at, ends = read_short(data)
+                at -= 1
+                here, gaps = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                to = own.find(_joined(part.column("gaps"))[0].view(U))
                 if (to < 0).any():
                     raise ValueError("a segment has no answer")
                 n = np.zeros(len(at), dtype=np.int64)
@@ -424,16 +486,13 @@ def _fill(cutter: Cutter, frequent, decoded: list[bytes] | None):
                 out = np.zeros(int(begin[-1]), dtype=np.int32)
                 known.lay(out, begin[here], at[here])
                 own.lay(out, begin[gaps], to)
-                bounds = begin[cut.first]
-                cols = [batch.column("_id").slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out))]
-                names = ["_id", "n_tokens", "token_ids"]
+                where = begin[np.searchsorted(ends, bounds, side="right")]
+                cols = [part.column("_id"), pa.array(np.diff(where)), pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(out)), part.column("sha")]
+                names = ["_id", "n_tokens", "token_ids", "sha"]
                 if decoded:
-                    sha, equal = [], []
-                    for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                        plain = (text or "").replace(SPACE, " ").encode()
-                        sha.append(hashlib.sha256(plain).hexdigest())
-                        equal.append(_decoded(out[a:b].tolist(), decoded) == plain)
-                    cols, names = [*cols, pa.array(sha, pa.string()), pa.array(equal, pa.bool_())], [*names, "sha", "ok"]
+                    flat, cuts = out.tolist(), where.tolist()
+                    equal = [hashlib.sha256(_decoded(flat[a:b], decoded)).digest() == sha for a, b, sha in zip(cuts[:-1], cuts[1:], part.column("sha").to_pylist(), strict=True)]
+                    cols, names = [*cols, pa.array(equal, pa.bool_())], [*names, "ok"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         give_back()
 
@@ -469,15 +528,16 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: b
     answers, _ = written(encode_segments(counted, pieces), "answers")
     drop_scratch(spark, at)
     release(spark)
-    frequent = spark.sparkContext.broadcast(Answers.of(_frequent(answers).select("segment", "ids").toArrow()))
+    frequent = spark.sparkContext.broadcast(Answers.of(_frequent(answers).select("segment", "ids", "n").toArrow()))
     rare = texts.select("_k", "_text").mapInArrow(_rare(cutter, frequent), "_k long, segment string")
     found = rare.join(answers.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
     # A table of its own, so that both sides of the next join are plain exchanges and rows that are equal as a whole are split.
     found, _ = written(found, "rare")
     release(spark)
     none = F.array().cast("array<struct<segment:string,ids:array<int>>>")
-    whole = texts.join(found, "_k", "left").select("_id", "_text", F.coalesce("_rare", none).alias("_rare"))
-    return whole.mapInArrow(_fill(cutter, frequent, pieces.as_bytes() if check else None), "_id long, n_tokens long, token_ids array<int>" + ", sha string, ok boolean" * check)
+    packed = texts.mapInArrow(_pack(cutter, frequent), "_id long, _k long, sha binary, places binary, gaps binary")
+    whole = packed.join(found, "_k", "left").select("_id", "sha", "places", "gaps", F.coalesce("_rare", none).alias("_rare"))
+    return whole.mapInArrow(_fill(frequent, pieces.as_bytes() if check else None), "_id long, n_tokens long, token_ids array<int>, sha binary" + ", ok boolean" * check)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces | None = None) -> DataFrame:
@@ -499,4 +559,4 @@ def decode(df: DataFrame, ids_col: str = "token_ids", pieces: Pieces | None = No
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces | None = None) -> DataFrame:
     """id, n_tokens, token_ids, text_sha256 (of the text with U+2581 as a space), decoded_equal: whether decoding the ids gives that text."""
     out = _encoded(df, id_col, text_col, pieces or Pieces.load(), True)
-    return out.select(F.col("_id").alias(id_col), "n_tokens", "token_ids", F.col("sha").alias("text_sha256"), F.col("ok").alias("decoded_equal"))
+    return out.select(F.col("_id").alias(id_col), "n_tokens", "token_ids", F.lower(F.hex("sha")).alias("text_sha256"), F.col("ok").alias("decoded_equal"))

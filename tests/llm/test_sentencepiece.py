@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from siteloom.llm import sentencepiece_lattice as sl
@@ -86,3 +87,10 @@ def test_whole_table_like_library(spark, library):
     text = {r.doc_id: r.text for r in docs.collect()}
     got = sl.round_trip(docs).collect()
     assert len(got) == len(text) and all(r.decoded_equal and list(r.token_ids) == library.encode(text[r.doc_id] or "") for r in got)
+
+
+def test_short_numbers():
+    v = np.array([0, 1, 127, 128, 16383, 16384, 1 << 21, (1 << 28) + 5, 7])
+    data, ends = sl.written_short(v)
+    back, where = sl.read_short(data)
+    assert back.tolist() == v.tolist() and where.tolist() == ends.tolist() and len(sl.read_short(data[:0])[0]) == 0
