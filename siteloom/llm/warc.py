@@ -111,30 +111,33 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records_with_payload(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, sha1, header, payload and record: the original record bytes, that is header block, payload unless
-    a revisit, two line ends. Both sides of the join are scans, so a payload that many records share is split."""
-    full = read_records(spark, path).join(read_payloads(spark, path), "address")
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return full.select("page_id", "record_type", "refers_to", "sha1", "header", "payload", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    """page_id, record_type, refers_to, sha1, address, header and record: the original record bytes, that is header block, payload, two line
+    ends. A revisit has no payload, so only responses meet theirs: no payload of REVISIT_FROM bytes or more is copied."""
+    rec, end = read_records(spark, path), F.lit(b"\r\n\r\n")
+    head = F.encode("header", "UTF-8")
+    own = ["page_id", "record_type", "refers_to", "sha1", "address", "header"]
+    responses = rec.filter("record_type = 'response'").join(read_payloads(spark, path), "address").select(*own, F.concat(head, F.col("payload"), end).alias("record"))
+    return responses.unionByName(rec.filter("record_type <> 'response'").select(*own, F.concat(head, end).alias("record")))
 
 
 def archive_digest(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, from the rebuilt records.
 
-    A response's payload is what stands behind the headers of its record; a revisit's, which has none, is that of the record it refers
-    to. Each record must be as long as its own header says, and its payload must give the digest that the header names.
+    A response's payload is what stands behind the headers of its record; a revisit's, which has none, is that of the response it
+    shares an address with. Each record must be as long as its own header says, and its payload must give the digest that the header
+    names.
     """
-    rec = records_with_payload(spark, path)
     head = F.octet_length(F.encode("header", "UTF-8"))
-    revisit = F.col("record_type") == "revisit"
-    body = F.when(revisit, F.col("payload")).otherwise(F.substring("record", head + 1, F.octet_length("record") - head - 4))
-    block = F.octet_length("record") - 4 - F.octet_length(F.encode(F.substring_index("header", CRLF * 2, 1), "UTF-8")) - 4
+    block = head - F.octet_length(F.encode(F.substring_index("header", CRLF * 2, 1), "UTF-8")) - 4
     said = F.regexp_extract("header", "msgtype=response\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long")
-    found = rec.select("page_id", "record_type", "refers_to", "sha1", block.cast("long").alias("_block"), said.alias("_said"), body.alias("_body"))
-    found = found.select("*", F.octet_length("_body").cast("long").alias("payload_bytes"), F.sha1("_body").alias("payload_digest"))
-    long = F.assert_true(F.col("_block") == F.col("_said"), "a record's length isn't its header's").isNull()
-    same = F.assert_true(F.col("sha1") == F.col("payload_digest"), "a header's digest isn't its payload's").isNull()
-    return found.filter(long & same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    cut = records_with_payload(spark, path).select("page_id", "record_type", "refers_to", "sha1", "address", said.alias("_said"), block.cast("long").alias("_block"), F.substring("record", head + 1, F.octet_length("record") - head - 4).alias("_body"))
+    cut = cut.select("page_id", "record_type", "refers_to", "sha1", "address", "_said", "_block", F.octet_length("_body").cast("long").alias("_n"), F.sha1("_body").alias("_sha1"))
+    rows = checkpointed(cut.filter(F.assert_true(F.col("_block") + F.col("_n") == F.col("_said"), "a record's length isn't its header's").isNull()))
+    response = F.col("record_type") == "response"
+    full = checkpointed(rows.filter(response).groupBy("address").agg(F.max("_n").alias("payload_bytes"), F.max("_sha1").alias("payload_digest"), (F.min("_sha1") == F.max("_sha1")).alias("_one")))
+    found = rows.join(full, "address")
+    same = F.assert_true(F.col("_one") & (F.col("sha1") == F.col("payload_digest")), "a header's digest isn't its payload's").isNull()
+    return found.filter(same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
