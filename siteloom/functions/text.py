@@ -11,6 +11,15 @@ from siteloom.config import DEFAULT, MONTHS
 BLANKS = " \t\n\r"
 
 
+#: The codecs that are tried, in this order.
+CODECS = ("utf_8", "latin_1", "utf_16")
+
+
+def codec_stack() -> Column:
+    """SO-3: the codecs as the list that is consumed from its end."""
+    return F.reverse(F.array(*[F.lit(c) for c in CODECS]))
+
+
 def decode(body: Column, charset: Column | None = None) -> Column:
     """FN-12, page by page: UTF-8 where the bytes are valid, else Latin-1, which never fails. A charset that the server names goes first."""
     latin1 = F.decode(body, "ISO-8859-1")

@@ -28,9 +28,14 @@ PAGE_TAGS = ("title", "base", "meta", "a", "p", "li", "time", *HEADINGS)
 NO_FOLLOW = ("noarchive", "nosnippet", "noindex", "nofollow")
 
 
-def parsed(pages: DataFrame, tags: tuple[str, ...] = PAGE_TAGS, html: str = "html", within: str | None = None) -> DataFrame:
-    """pages with nodes in place of html: the one parse that everything else branches off."""
-    return spread(pages).withColumn("nodes", html_nodes(F.col(html), tags, within)).drop(html)
+def parsed(pages: DataFrame, tags: tuple[str, ...] = PAGE_TAGS, html: str = "html", within: str | None = None, xml: bool = False) -> DataFrame:
+    """pages with nodes in place of html: the one parse that everything else branches off. xml chooses the other parser (UD-4)."""
+    return spread(pages).withColumn("nodes", html_nodes(F.col(html), tags, within, xml)).drop(html)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once and not for each element of what use goes over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _of(nodes: Column, *tags: str) -> Column:
@@ -41,8 +46,11 @@ def _lookup(key: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for item in names.items() for x in item]), key)
 
 
-def head(nodes: Column) -> Column:
-    """EX-2: struct of HEAD_FIELDS. title and base: the last element's text wins; meta: the first one wins, even with no content."""
+def head(nodes: Column, in_memory: bool = False) -> Column:
+    """EX-2: struct of HEAD_FIELDS. title and base: the last element's text wins; meta: the first one wins, even with no content.
+    in_memory is EX-2a: a page that never was a file has no head, so all fields are null."""
+    if in_memory:
+        return F.struct(*[F.lit(None).cast("string").alias(name) for name in HEAD_FIELDS])
     metas = F.transform(
         _of(nodes, "meta"),
         lambda n: F.struct(
@@ -70,13 +78,12 @@ def links(nodes: Column, respect_rel: bool = False) -> Column:
     anchors = F.filter(_of(nodes, "a"), lambda n: F.coalesce(attr(n, "href"), F.lit("")) != "")
     if respect_rel:
         anchors = F.filter(anchors, lambda n: url_rules(attr(n, "href")) & ~F.coalesce(attr(n, "rel").isin(*NO_FOLLOW), F.lit(False)))
-    rows = F.transform(anchors, lambda n: F.struct(n["pos"].alias("pos"), attr(n, "href").alias("href"), attr(n, "robots").alias("robots")))
-    # As a map of first places would: an entry stays if it is the first of its href.
-    hrefs = F.transform(rows, lambda r: r["href"])
-    first = F.filter(rows, lambda r, i: F.array_position(hrefs, r["href"]) == i + 1)
+    # Sorted by href and place, an entry is the first of its href if the one before it has another.
+    by_href = F.sort_array(F.transform(anchors, lambda n: F.struct(attr(n, "href").alias("href"), n["pos"].alias("pos"), attr(n, "robots").alias("robots"))))
+    first = _let(by_href, lambda rows: F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["href"] != r["href"])))
     if not respect_rel:
         first = F.filter(first, lambda r: ~F.coalesce(r["robots"].isin(*NO_FOLLOW), F.lit(False)))
-    return F.transform(first, lambda r: F.struct(r["pos"].alias("pos"), r["href"].alias("href")))
+    return F.sort_array(F.transform(first, lambda r: F.struct(r["pos"].alias("pos"), r["href"].alias("href"))))
 
 
 def paragraphs(nodes: Column, *tags: str) -> Column:
@@ -89,13 +96,12 @@ def paragraphs_with_headings(nodes: Column) -> Column:
     """array<struct<pos,paragraph,h1..h6>>: EX-6, each p and li with the last heading of each level before it; lower levels stay."""
     texts = F.filter(F.transform(_of(nodes, *HEADINGS), lambda n: F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), trim_blanks(n["text"]).alias("text"))), lambda h: h["text"] != "")
 
-    def with_headings(p: Column) -> Column:
-        before = F.filter(texts, lambda h: h["pos"] < p["pos"])
-        level = lambda h: F.try_element_at(F.filter(before, lambda x: x["tag"] == h), F.lit(-1))["text"]
+    def with_headings(p: Column, texts: Column) -> Column:
+        level = lambda h: F.try_element_at(F.filter(texts, lambda x: (x["tag"] == h) & (x["pos"] < p["pos"])), F.lit(-1))["text"]
         last = [level(h).alias(h) for h in HEADINGS]
         return F.struct(p["pos"].alias("pos"), p["paragraph"].alias("paragraph"), *last)
 
-    return F.transform(paragraphs(nodes, "p", "li"), with_headings)
+    return _let(texts, lambda known: F.transform(paragraphs(nodes, "p", "li"), lambda p: with_headings(p, known)))
 
 
 def forward_fill(rows: DataFrame, page: str, pos: str, columns: tuple[str, ...] = HEADINGS) -> DataFrame:
@@ -117,9 +123,9 @@ class Field:
         return self.name or self.attr or self.tag
 
 
-def extract(pages: DataFrame, fields: list[Field], within: str | None = None, html: str = "html", edit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """EX-7 to EX-9: an array column for each field; within selects the part of the page, edit is applied to the result."""
-    df = parsed(pages, tuple(dict.fromkeys(f.tag for f in fields)), html, within)
+def extract(pages: DataFrame, fields: list[Field], within: str | None = None, html: str = "html", edit: Callable[[DataFrame], DataFrame] | None = None, xml: bool = False) -> DataFrame:
+    """EX-7 to EX-9: an array column for each field; within selects the part of the page, edit is applied to the result, xml is UD-4."""
+    df = parsed(pages, tuple(dict.fromkeys(f.tag for f in fields)), html, within, xml)
     value = lambda f: lambda n: stringify(n["text"] if f.attr is None else F.try_element_at(n["attrs"], F.lit(f.attr)))
     out = df.withColumns({f.column: F.transform(_of(F.col("nodes"), f.tag), value(f)) for f in fields}).drop("nodes")
     return edit(out) if edit else out

@@ -36,23 +36,30 @@ def normalise_links(links: DataFrame, base: str = "base", href: str = "href", se
     return bare.withColumn("_url", resolve(F.col(base), F.col("_href"))).filter(url_explicit(F.col("_url"), settings.nofollow)).withColumn("url", strip_slashes(F.col("_url"))).drop("_href", "_url")
 
 
-def _prefixes(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.least(F.length(text), F.lit(LONGEST_BASE))), lambda n: F.substring(text, F.lit(1), n))
+def _lengths(texts: DataFrame, column: str) -> list[int]:
+    """The lengths that occur in a column of bases, LONGEST_BASE + 1 at most."""
+    return sorted(r[0] for r in texts.select(F.length(column)).distinct().filter(F.length(column) <= LONGEST_BASE).collect())
+
+
+def _prefixes(text: Column, lengths: list[int]) -> Column:
+    known = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    return F.transform(F.filter(known, lambda n: n <= F.length(text)), lambda n: F.substring(text, F.lit(1), n))
 
 
 def route(urls: DataFrame, bases: DataFrame) -> DataFrame:
     """DF-1, J-3: urls with base and depth of the first base that FN-6 attributes them to, by depth and seq; null where none does.
 
-    A base is a scheme and a host, so the bases that an url begins with are among the prefixes of its own scheme and host: the theta join
-    is an equi-join with those few. Mobile hosts are joined likewise on their stripped forms.
+    A base is a scheme and a host, so the bases that an url begins with are among the prefixes of its own scheme and host, and only as
+    long as bases are: the theta join is an equi-join with those few. Mobile hosts are joined likewise on their stripped forms.
+    bases is read three times and should be cheap to read.
     """
     site = bases.select(F.col("base").alias("_b"), F.col("depth").alias("_d"), F.col("seq").alias("_s"))
     is_mobile = lambda c: c.startswith("http://m.")
     known = urls.select("url").distinct()
-    plain = known.filter(~is_mobile(F.col("url"))).select("url", F.explode(_prefixes(F.coalesce(parse_base(F.col("url")), F.lit("")))).alias("_key"))
-    plain = plain.join(site.filter(~is_mobile(F.col("_b"))), F.col("_key") == F.col("_b"))
-    keys = known.select("url", F.explode(_prefixes(_mobile(F.col("url")))).alias("_key"))
-    forms = site.withColumn("_m", _mobile(F.col("_b")))
+    fixed, forms = site.filter(~is_mobile(F.col("_b"))), site.withColumn("_m", _mobile(F.col("_b")))
+    plain = known.filter(~is_mobile(F.col("url"))).select("url", F.explode(_prefixes(F.coalesce(parse_base(F.col("url")), F.lit("")), _lengths(fixed, "_b"))).alias("_key"))
+    plain = plain.join(fixed, F.col("_key") == F.col("_b"))
+    keys = known.select("url", F.explode(_prefixes(_mobile(F.col("url")), _lengths(forms, "_m"))).alias("_key"))
     mobile = keys.join(forms, F.col("_key") == F.col("_m")).filter(is_mobile(F.col("url")) | is_mobile(F.col("_b")))
     met = plain.select("url", "_b", "_d", "_s").union(mobile.select("url", "_b", "_d", "_s"))
     first = met.groupBy("url").agg(F.min_by(F.struct("_b", "_d"), F.struct("_d", "_s", "_b")).alias("_f"))
@@ -106,6 +113,14 @@ def warm_start(websites: DataFrame, webpages: DataFrame, now: Column, settings:
     return rows.union(routed.select("base", "depth", "url", "seq"))
 
 
+def schedule(frontier: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """DF-13: (base, depth, wave): max_threads sites and one more go at once, in the order in which they were put in line; the next
+    ones when a wave has ended. One row for each site."""
+    sites = frontier.groupBy("base", "depth").agg(F.min("seq").alias("_s"))
+    place = F.row_number().over(Window.orderBy("depth", "_s", "base")) - 1
+    return sites.select("base", "depth", F.floor(place / (settings.max_threads + 1)).cast("int").alias("wave"))
+
+
 def lowest_layer(frontier: DataFrame) -> DataFrame:
     """DF-17."""
     return frontier.filter("depth = 0").select("base").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from collections.abc import Callable, Sequence
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pyarrow as pa
@@ -61,6 +62,13 @@ def read_xml(text: str) -> dict:
     return {"kind": kind, "records": [*records, _NONE | now] if now else records}
 
 
+def namespace(xml: Column) -> Column:
+    """FN-23: {namespace} of the first element, the empty string where it names none."""
+    first = F.regexp_extract(xml, r"<[A-Za-z_][^>]*>", 0)
+    name = F.regexp_extract(first, r"""\sxmlns\s*=\s*["']([^"']*)["']""", 1)
+    return F.when(name != "", F.concat(F.lit("{"), name, F.lit("}"))).otherwise(F.lit(""))
+
+
 def _text(body: bytes, zipped: bool) -> str | None:
     try:
         return (gzip.decompress(body) if zipped else body).decode("utf-8")
@@ -93,27 +101,63 @@ def _records(docs: DataFrame) -> DataFrame:
     return rows.filter((F.col("kind") != "text") | url_explicit(F.col("links")))
 
 
-def expand(roots: DataFrame, docs: DataFrame) -> DataFrame:
+def expand(roots: DataFrame, docs: DataFrame, concurrency: int | None = None) -> DataFrame:
     """DF-9: base, sitemap_url, pos, links, modified_time, revisit of all urls below the roots (base, url).
 
     docs (url, body) are the stored files, missing ones are skipped. An index's entry is read at its own address; where that file is no
-    url set, under base/sitemap/ and then base/sitemaps/; the first that is missing ends the search.
+    url set (another index isn't one either), under base/sitemap/ and then base/sitemaps/; the first that is missing ends the search.
+    concurrency: DF-14, how many tasks may read sitemaps at once; without it as many as there are partitions.
     """
     at = read_address(sitemap_url(F.col("url"), F.col("base")), F.col("base"))
-    top = roots.select("base", at.alias("url")).distinct().join(docs.select("url", "body"), "url")
+    capped = lambda df: df.coalesce(concurrency) if concurrency else df
+    top = capped(roots.select("base", at.alias("url")).distinct().join(docs.select("url", "body"), "url"))
     top = top.withColumn("map", parse(F.col("body"), read_kind(F.col("url")))).drop("body")
     index = _records(top.filter("map.kind = 'index'")).filter("links is not null")
     name = F.substring_index("links", "/", -1)
     tries = F.array(F.col("links"), F.concat("base", F.lit("/sitemap/"), name), F.concat("base", F.lit("/sitemaps/"), name))
     asked = index.select("base", "sitemap_url", "pos", F.posexplode(tries).alias("try", "url"))
-    files = docs.join(asked.select("url").distinct(), "url", "left_semi").select("url", "body").withColumn("map", parse(F.col("body"), F.lit("xml"))).drop("body")
-    met = asked.join(files, "url", "left").withColumn("ends", F.col("map").isNull() | (F.col("map.kind") != "none"))
+    files = capped(docs.join(asked.select("url").distinct(), "url", "left_semi").select("url", "body")).withColumn("map", parse(F.col("body"), F.lit("xml"))).drop("body")
+    met = asked.join(files, "url", "left").withColumn("ends", F.col("map").isNull() | (F.col("map.kind") == "urlset"))
     first = Window.partitionBy("base", "sitemap_url", "pos").orderBy("try")
     chosen = met.filter("ends").withColumn("_n", F.row_number().over(first)).filter("_n = 1 and map is not null").select("base", "url", "map")
     leaves = _records(top.filter("map.kind in ('urlset', 'text')").unionByName(chosen.select("url", "base", "map")))
     return leaves.select("base", "sitemap_url", "pos", "links", "modified_time", "revisit")
 
 
+def first_fit(body: Column, readers: Sequence[Callable[[Column], Column]]) -> Column:
+    """UD-5: what the first of the readers gives that can read the body; a reader gives a struct<kind,records> of kind none where it
+    can't. What none of them reads is of kind none."""
+    fits = [F.when(r["kind"] != "none", r) for r in (read(body) for read in readers)]
+    nothing = F.from_json(F.lit('{"kind":"none","records":[]}'), SITEMAP)
+    return F.coalesce(*fits, nothing)
+
+
+def only(kind: str, read: str = "xml") -> Callable[[Column], Column]:
+    """A reader for first_fit that takes one kind of sitemap."""
+
+    def reader(body: Column) -> Column:
+        found = parse(body, F.lit(read))
+        return F.when(found["kind"] == kind, found).otherwise(F.from_json(F.lit('{"kind":"none","records":[]}'), SITEMAP))
+
+    return reader
+
+
+def longest(columns: Sequence[str]) -> Column:
+    """AG-3: the number of values of the attribute that has most."""
+    return F.greatest(*[F.size(c) for c in columns]) if len(columns) > 1 else F.size(columns[0])
+
+
+def missing(a: Column, b: Column) -> Column:
+    """ST-2: the names of a that b lacks."""
+    return F.array_except(a, b)
+
+
+def padded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """EX-18 over array columns: shorter ones are filled up with empty strings."""
+    n = longest(columns)
+    return df.withColumns({c: F.concat(F.col(c), F.array_repeat(F.lit(""), n - F.size(c))) for c in columns})
+
+
 def html_sitemap(pages: DataFrame, html: str = "html") -> DataFrame:
     """SRC-10: an HTML page's links as records."""
     rows = content.parsed(pages, ("a",), html).withColumn("_l", F.explode(content.links(F.col("nodes"))))

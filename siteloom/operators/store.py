@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import parse_datetime
+from siteloom.functions.urls import temp_name
 from siteloom.schemas import TABLES
 
 BY_TIME = "crawl_modified"
@@ -103,6 +104,16 @@ class Store:
         return pages.join(p.withColumnRenamed("id", "paragraph_id"), "webpage_id").join(h.withColumnRenamed("id", "headings_id").drop("webpage_id"), "headings_id", "left")
 
 
+def save_bodies(pages: DataFrame, path: str) -> None:
+    """SNK-6: raw pages (base, url, body) under the names of FN-11, apart from all else."""
+    pages.select(temp_name(F.col("base"), F.col("url")).alias("name"), "url", "body").write.mode("append").parquet(path)
+
+
+def load_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """SNK-6: name, url, body; drop() of siteloom.shared removes them afterwards."""
+    return spark.read.schema("name string, url string, body binary").parquet(path)
+
+
 def write_with(rows: DataFrame, sink: Callable[[DataFrame], None], steps: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> None:
     """SNK-8, UD-2, UD-3: a sink of the caller's own, after its transformations."""
     for step in steps:

@@ -7,28 +7,20 @@ by a checkpoint in the shared folder, so plans don't grow with the hops and a lo
 from __future__ import annotations
 
 import logging
-import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.config import DEFAULT, Settings
 from siteloom.functions.text import archivable, followable
 from siteloom.functions.urls import parse_base, strip_slashes
 from siteloom.operators import content, frontier, robots
+from siteloom.shared import checkpointed
 
 log = logging.getLogger(__name__)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the folder that the session names for checkpoints; one of our own only where it names none."""
-    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siteloom-"))
-    return df.checkpoint(eager=True)
-
-
 def link_table(pages: DataFrame, respect_rel: bool = False) -> DataFrame:
     """url (slashes stripped), head, followable, archivable, hrefs of each page; of pages that share an url the least page_id's."""
     nodes = content.parsed(pages.select("page_id", strip_slashes(F.col("url")).alias("url"), "html"), ("title", "base", "meta", "a"))
@@ -39,10 +31,17 @@ def link_table(pages: DataFrame, respect_rel: bool = False) -> DataFrame:
 
 @dataclass
 class Crawl:
-    """What a crawl did: fetched (base, depth, hop, url, page_id, stored) and visited (url, base, depth, hop)."""
+    """What a crawl did: fetched (base, depth, hop, url, page_id, stored), visited (url, base, depth, hop) and, for each hop, what was
+    observed of it: hop, fetched, stored, followed, found."""
 
     fetched: DataFrame
     visited: DataFrame
+    metrics: list[dict[str, int]]
+
+
+def crawl_log(spark: SparkSession, done: Crawl) -> DataFrame:
+    """SNK-9: the metrics of a crawl's hops as rows."""
+    return spark.createDataFrame([tuple(m[c] for c in ("hop", "fetched", "stored", "followed", "found")) for m in done.metrics], "hop int, fetched long, stored long, followed long, found long")
 
 
 def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFrame | None = None, settings: Settings = DEFAULT, max_hops: int = 1000, table: DataFrame | None = None) -> Crawl:
@@ -52,14 +51,20 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
     gives links and is not stored, a nofollow page is stored and gives none. rules: read_robots()' table; without it all is allowed.
     """
     links = checkpointed(table if table is not None else link_table(pages))
+    # Robots files are parsed once, not in each hop.
+    rules = checkpointed(rules) if rules is not None else None
     numbered = start.select("url").distinct().withColumns({"depth": F.lit(0), "seq": F.xxhash64("url")})
     queue = checkpointed(frontier.append_sites(numbered, numbered.limit(0).withColumn("base", F.col("url")), settings).select("base", "depth", strip_slashes(F.col("url")).alias("url")))
     sites = queue.select("base", "depth", F.lit(0).cast("long").alias("seq")).distinct()
     visited = queue.select("url", "base", "depth", F.lit(0).alias("hop"))
     fetched: DataFrame | None = None
+    metrics: list[dict[str, int]] = []
     for hop in range(max_hops):
         asked = queue if rules is None else robots.can_fetch(queue, rules, settings).filter("allowed").drop("allowed")
-        got = checkpointed(asked.join(links, "url").withColumn("hop", F.lit(hop)))
+        seen = Observation()
+        yes = lambda c: F.count(F.when(F.col(c), 1))
+        got = asked.join(links, "url").withColumn("hop", F.lit(hop)).observe(seen, F.count(F.lit(1)).alias("fetched"), yes("archivable").alias("stored"), yes("followable").alias("followed"))
+        got = checkpointed(got)
         done = got.select("base", "depth", "hop", "url", "page_id", F.col("archivable").alias("stored"))
         fetched = done if fetched is None else fetched.union(done)
         if hop % 8 == 7:
@@ -71,7 +76,8 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
         far = routed.filter("base is null").select("url", (F.col("from_depth") + 1).alias("depth")).filter(F.col("depth") <= settings.crawl_depth).withColumn("base", parse_base(F.col("url"))).filter("base is not null")
         queue = checkpointed(routed.filter("base is not null").select("base", "depth", "url").union(far.select("base", "depth", "url")))
         n = queue.count()
-        log.info("hop %d: %d new urls", hop, n)
+        metrics.append({"hop": hop, **seen.get, "found": n})
+        log.info("hop %(hop)d: fetched %(fetched)d, stored %(stored)d, followed %(followed)d, found %(found)d new urls", metrics[-1])
         if not n:
             break
         # Each queue is checkpointed already; the union of them is, once in a while, to keep plans short.
@@ -81,4 +87,4 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
         if settings.crawl_depth > 0:
             more = queue.select("base", "depth").distinct().join(sites.select("base", "depth"), ["base", "depth"], "left_anti").withColumn("seq", F.lit(hop + 1).cast("long"))
             sites = checkpointed(sites.union(more))
-    return Crawl(fetched, visited)
+    return Crawl(fetched, visited, metrics)

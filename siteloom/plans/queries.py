@@ -7,24 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.config import NOFOLLOW, Settings
+from siteloom.config import Settings
 from siteloom.functions import text, urls
 from siteloom.operators import content, frontier, robots, sitemaps, store
 from siteloom.plans import crawl
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+def registry() -> tuple[dict[str, Query], dict[str, str], Callable[..., Callable[[Query], Query]]]:
+    """Queries by name, the SQL of those that have any, and the decorator that fills both."""
+    queries: dict[str, Query] = {}
+    oracles: dict[str, str] = {}
 
-    return keep
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def keep(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return keep
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -43,7 +51,15 @@ hrefs AS (
 )"""
 _UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _U = "trim({0}, '/')"
-_ALTERNATION = "|".join(w.replace(".", "[.]") for w in NOFOLLOW)
+# Fixed values, spelled out here so that a wrong constant in the library shows.
+_ALTERNATION = (
+    "creativecommons|facebook|feedly|flickr|github|google|instagram|last[.]fm|linkedin|mozzila|"
+    "openstreetmap|opera|sciencedirect|twitter|vimeo|wikimedia|wikipedia|wiley|youtube|sciencecommons"
+)
+_URL = (
+    r"(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?[.])+(?:[A-Z]{2,6}[.]?|[A-Z0-9-]{2,}[.]?)|localhost|"
+    r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})(?::[0-9]+)?(?:/?|[/?]\S+)$"
+)
 _RULES = (
     "(length({u}) < 4 OR (substr({u}, -4, 1) <> '.' AND NOT (substr({u}, -1, 1) = 'x' AND length({u}) >= 5 AND substr({u}, -5, 1) = '.') AND NOT regexp_matches({u}, '"
     + _ALTERNATION
@@ -56,7 +72,7 @@ def _rules(x: str) -> str:
 
 
 def _explicit(x: str) -> str:
-    return f"(regexp_matches({x}, '{urls.URL_PATTERN}') AND {_rules(x)})"
+    return f"(regexp_matches({x}, '{_URL}') AND {_rules(x)})"
 
 
 _MOBILE = "trim(trim(trim({}, 'htp:/'), 'm.'), 'w.')"
@@ -259,7 +275,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PARAGRAPHS}, h AS (SELECT page_id, trim({_UNESCAPE.format("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')")}) AS h1 FROM pages)
 SELECT page_id, paragraph, h1 FROM texts JOIN h USING (page_id) WHERE paragraph <> ''""")
 def paragraphs_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX-6, WN-3: what stands below the page's heading."""
+    """EX-6: what stands below the page's heading."""
     pages = content.parsed(_read(spark, sf_dir, "pages", "page_id", "html"), ("p", "li", *content.HEADINGS))
     rows = pages.select("page_id", F.explode(content.paragraphs_with_headings(F.col("nodes"))).alias("r"))
     return rows.select("page_id", "r.paragraph", "r.h1").filter("h1 is not null")
@@ -268,7 +284,7 @@ def paragraphs_with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_HREFS} SELECT page_id, {_UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading, 'utf-8' AS charset,
 (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(p.html, '<a href'))))::INT AS n_links FROM pages p""")
 def generic_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX-7, EX-8, EX-11, UD-1: a declared extraction."""
+    """EX-7, EX-11, UD-1: a declared extraction."""
     fields = [content.Field("h1", name="heading"), content.Field("meta", attr="charset"), content.Field("a", attr="href", name="links")]
     rows = content.extract(_read(spark, sf_dir, "pages", "page_id", "html"), fields)
     return rows.select("page_id", F.get("heading", F.lit(0)).alias("heading"), F.get("charset", F.lit(0)).alias("charset"), F.size("links").alias("n_links"))
@@ -278,7 +294,7 @@ def generic_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, d || CASE event_id % 3 WHEN 0 THEN 'T' WHEN 1 THEN ' | ' ELSE ' ' END || t AS raw,
 CASE WHEN dd <= 12 THEN make_timestamp(y, dd, m, h, mi, 0) ELSE make_timestamp(y, m, dd, h, mi, 0) END AS value FROM e""")
 def datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX-12, EX-13, FN-21: strings found in a page, read day first."""
+    """EX-12, FN-21: strings found in a page, read day first."""
     gap = F.element_at(F.array(F.lit("T"), F.lit(" | "), F.lit(" ")), (F.col("event_id") % 3 + 1).cast("int"))
     html = F.concat(F.lit("<p>on "), F.date_format("ts", "yyyy-MM-dd"), gap, F.date_format("ts", "HH:mm"), F.lit("</p>"))
     rows = _read(spark, sf_dir, "events", "event_id", "ts").select("event_id", F.explode(text.datetime_strings(html)).alias("raw"))
@@ -324,7 +340,7 @@ def visited_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT DISTINCT {_PAGE_BASE} AS url FROM pages), w AS (SELECT url || CASE WHEN length(url) % 2 = 0 THEN '/' ELSE '' END AS url FROM s WHERE length(url) % 3 > 0)
 SELECT url FROM s WHERE url <> '' AND url NOT IN (SELECT url FROM w) AND url || '/' NOT IN (SELECT url FROM w) AND length(url) % 7 <> 0""")
 def seed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DF-6, J-5, SRC-15."""
+    """DF-6, J-5."""
     found = _read(spark, sf_dir, "pages", "url").select(urls.parse_base(F.col("url")).alias("url")).filter("url is not null").distinct()
     sites = found.filter(F.length("url") % 3 > 0).select(F.concat("url", F.when(F.length("url") % 2 == 0, F.lit("/")).otherwise(F.lit(""))).alias("url"))
     return frontier.admit_seeds(found, sites, found.filter(F.length("url") % 7 == 0))
@@ -361,7 +377,7 @@ def depth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT (page_id % 2)::INT AS depth, {_PAGE_BASE} AS base, count(*) AS n_urls FROM pages WHERE {_PAGE_BASE} <> '' GROUP BY 1, 2")
 def layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DF-16 to DF-18."""
+    """DF-18, AG-2."""
     return frontier.layer_report(_queue(spark, sf_dir))
 
 
@@ -480,14 +496,14 @@ _RECORDS = f"rec AS (SELECT {_PAGE_BASE} AS base, url AS links, '2015-07-25T18:1
 
 @query(f"WITH {_RECORDS} SELECT base, pos, links, modified_time, revisit FROM rec")
 def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-5, SRC-6, EX-16, EX-17."""
+    """SRC-5, SRC-6, EX-16, EX-17: xml."""
     docs = _urlsets(spark, sf_dir).select("base", F.concat("base", F.lit("/map.xml")).alias("url"), "body")
     return sitemaps.expand(docs.select("base", "url"), docs.select("url", "body")).select("base", "pos", "links", "modified_time", "revisit")
 
 
 @query(f"""WITH {_RECORDS} SELECT base, pos, links FROM rec WHERE length(base) % 4 <> 3""")
 def sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DF-9, SRC-7, SRC-9: indexes whose entry is found at its own place, under sitemap/ or as text, or is missing."""
+    """DF-9, SRC-7: indexes whose entry is found at its own place or under sitemap/, or is missing."""
     sets = _urlsets(spark, sf_dir).withColumn("k", F.length("base") % 4)
     address = F.when(F.col("k") == 1, F.concat("base", F.lit("/sitemap/1.xml"))).otherwise(F.concat("base", F.lit("/deep/1.xml")))
     index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), "base", F.lit("/deep/1.xml</loc></sitemap></sitemapindex>"))

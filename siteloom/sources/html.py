@@ -57,11 +57,12 @@ def _fits(step: tuple[str, str, frozenset[str]], tag: str, attrs: dict[str, str]
     return step[0] in ("", "*", tag) and step[1] in ("", attrs.get("id", "")) and step[2] <= set(attrs.get("class", "").split())
 
 
-def nodes(html: str | None, tags: frozenset[str] | None = None, within: str | None = None) -> list[tuple]:
+def nodes(html: str | None, tags: frozenset[str] | None = None, within: str | None = None, xml: bool = False) -> list[tuple]:
     """(pos, tag, attrs, own, text, path) of each wanted element, in document order; pos counts all elements.
 
     own: text before the first child, None if there is none. path: /html[1]/body[1]/p[2]. within: descendant selectors such as
     "div.text p#lead" or xpath steps such as ".//div"; only elements in (or at) a match are given.
+    xml (UD-4): names keep their case, nothing is void or ends by itself, CDATA is text.
     """
     if not html:
         return []
@@ -104,15 +105,18 @@ def nodes(html: str | None, tags: frozenset[str] | None = None, within: str | No
             add(m[1])
             continue
         if m[3] is None:
+            if xml and m[0].startswith("<![CDATA["):
+                texts.append(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[3].lower()
+        tag = m[3] if xml else m[3].lower()
         if m[2]:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n].tag == tag:
                     close(n)
                     break
             continue
-        auto_close(tag)
+        if not xml:
+            auto_close(tag)
         if stack and stack[-1].own < 0:
             stack[-1].own = len(texts)
         siblings = stack[-1].children if stack else top
@@ -125,12 +129,12 @@ def nodes(html: str | None, tags: frozenset[str] | None = None, within: str | No
         pos += 1
         if e.want:
             found.append(e)
-        if tag in VOID or m[4].endswith("/"):
+        if (tag in VOID and not xml) or m[4].endswith("/"):
             e.end = e.own = len(texts)
             continue
         stack.append(e)
         depth.append(fits)
-        if tag in RAW:
+        if tag in RAW and not xml:
             end = re.compile(f"</{tag}", re.I).search(html, at)
             stop = end.start() if end else len(html)
             add(html[at:stop])
@@ -144,13 +148,13 @@ _FIELDS = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("attrs", pa.map
 _NAMES = ("pos", "tag", "attrs", "own", "text", "path")
 
 
-def html_nodes(html: Column, tags: tuple[str, ...] | None = None, within: str | None = None) -> Column:
+def html_nodes(html: Column, tags: tuple[str, ...] | None = None, within: str | None = None, xml: bool = False) -> Column:
     """array<struct<pos,tag,attrs,own,text,path>>: parsed once per page; the tags are this parser's pushed-down projection."""
     want = frozenset(tags) if tags is not None else None
 
     @F.arrow_udf(f"array<{NODE}>")
     def run(col: pa.Array) -> pa.Array:
-        out = [[{k: list(v.items()) if k == "attrs" else v for k, v in zip(_NAMES, n, strict=True)} for n in nodes(x, want, within)] for x in col.to_pylist()]
+        out = [[{k: list(v.items()) if k == "attrs" else v for k, v in zip(_NAMES, n, strict=True)} for n in nodes(x, want, within, xml)] for x in col.to_pylist()]
         return pa.array(out, pa.list_(_FIELDS))
 
     return run(html)

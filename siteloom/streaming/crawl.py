@@ -53,19 +53,24 @@ def put_frontier(rows: DataFrame, path: str) -> None:
 
 
 class _Polite(StatefulProcessor):
-    """A site's queue as list state, and a processing-time timer for its next turn."""
+    """A site's queue as map state by place, the places of its head and tail, and a processing-time timer for its next turn."""
 
     def __init__(self, delay_ms: int):
         self.delay_ms = delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("queue", "url string")
+        self.queue = handle.getMapState("queue", "i long", "url string")
+        self.ends = handle.getValueState("ends", "head long, tail long")
         self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        head, tail = self.ends.get() if self.ends.exists() else (0, 0)
         for pdf in rows:
-            self.queue.appendList([(u,) for u in pdf["url"]])
+            for url in pdf["url"]:
+                self.queue.updateValue((tail,), (url,))
+                tail += 1
+        self.ends.update((head, tail))
         if not self.due.exists():
             yield from self._next(key, timerValues.getCurrentProcessingTimeInMs())
 
@@ -74,13 +79,15 @@ class _Polite(StatefulProcessor):
         yield from self._next(key, timerValues.getCurrentProcessingTimeInMs())
 
     def _next(self, key, now: int) -> Iterator[pd.DataFrame]:
-        waiting = [r[0] for r in self.queue.get()] if self.queue.exists() else []
-        if not waiting:
+        head, tail = self.ends.get() if self.ends.exists() else (0, 0)
+        if head >= tail:
             return
-        self.queue.put([(u,) for u in waiting[1:]]) if len(waiting) > 1 else self.queue.clear()
+        url = self.queue.getValue((head,))[0]
+        self.queue.removeKey((head,))
+        self.ends.update((head + 1, tail))
         self.due.update((now + self.delay_ms,))
         self.handle.registerTimer(now + self.delay_ms)
-        yield pd.DataFrame({"base": [key[0]], "url": [waiting[0]], "at": [now]})
+        yield pd.DataFrame({"base": [key[0]], "url": [url], "at": [now]})
 
     def close(self) -> None:
         pass

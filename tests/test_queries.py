@@ -2,11 +2,12 @@ import os
 
 import pytest
 
-from siteloom.plans.queries import ORACLES, QUERIES
+from siteloom.plans import queries, stored
 
 from .oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | stored.QUERIES, queries.ORACLES | stored.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
