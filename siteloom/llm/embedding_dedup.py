@@ -1,8 +1,9 @@
 """Operator 9: near-duplicate embeddings by product quantisation.
 
 Vectors are scaled to length 1, in doubles. Coarse k-means centres give inverted lists; what a vector differs from its centre by is
-cut into SUBSPACES parts, each coded by one of CODES codewords. Centres and codewords are fitted on the FIT_ROWS vectors of smallest
-hash; every vector is indexed and every vector is a query.
+cut into SUBSPACES parts, each coded by one of CODES codewords. There are LISTS * sqrt(n) lists for n vectors, so that
+lists stay short as the input grows. Centres and codewords are fitted on the FIT_ROWS vectors of smallest hash, PER_LIST for a list
+at least; every vector is indexed and every vector is a query.
 
 A query x probes list c if x lies within a margin of the plane that parts c from x's own centre. A neighbour at the threshold's
 distance d may lie d off in that direction; as directions differ, it lies off by more than SIGMAS * d / sqrt(dimension) hardly ever,
@@ -33,15 +34,16 @@ from .components import connected_components
 
 THRESHOLD = 0.95
 SIGMAS = 3.0
-FIT_ROWS = 16_384
-MAX_LISTS = 512
+#: Rows that centres and codewords are fitted on, at most; rows of these for each list; lists for the root of the number of vectors.
+FIT_ROWS, PER_LIST, LISTS = 65_536, 4, 2.0
 SUBSPACES, CODES = 8, 256
 BASE_BLOCK, QUERY_BLOCK, TILE = 2048, 4096, 256
 _NULL_ID = -(1 << 63)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+    square = (centres**2).sum(axis=1)
+    return np.concatenate([(square - 2 * x[lo : lo + 1024] @ centres.T).argmin(axis=1) for lo in range(0, max(1, len(x)), 1024)])
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -59,16 +61,14 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Index:
     """Centres and codewords for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, distance: float):
-        n, dim = sample.shape
-        self.centres = k_means(sample, int(np.clip(np.sqrt(n) * 2, 1, MAX_LISTS)), 8, 1)
+    def __init__(self, sample: np.ndarray, distance: float, n: int):
+        dim = sample.shape[1]
+        self.centres = k_means(sample, int(np.clip(LISTS * np.sqrt(n), 1, max(1, len(sample) // PER_LIST))), 8, 1)
         parts = min(SUBSPACES, dim)
         self.cuts = np.linspace(0, dim, parts + 1).astype(int)
         rest = sample - self.centres[_nearest(sample, self.centres)]
         self.words = [k_means(rest[:, a:b], CODES, 5, 2 + i) for i, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
         self.margin = distance * min(1.0, SIGMAS / np.sqrt(dim))
-        gap = self.centres[:, None] - self.centres[None]
-        self.gaps = np.sqrt((gap**2).sum(axis=2))
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, distance of each vector to what its code stands for)."""
@@ -82,9 +82,16 @@ class Index:
 
     def probes(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each list that a row probes, its own among them."""
-        d = (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T
-        own = d[np.arange(len(x)), lists]
-        return np.nonzero(d - own[:, None] <= 2 * self.margin * self.gaps[lists])
+        rows, to = [], []
+        square = (self.centres**2).sum(axis=1)
+        for lo in range(0, len(x), TILE):
+            tile, own = x[lo : lo + TILE], lists[lo : lo + TILE]
+            d = square - 2 * tile @ self.centres.T
+            gap = np.sqrt(np.maximum(0, square + square[own][:, None] - 2 * self.centres[own] @ self.centres.T))
+            row, at = np.nonzero(d - d[np.arange(len(tile)), own][:, None] <= 2 * self.margin * gap + 1e-12)
+            rows.append(row + lo)
+            to.append(at)
+        return np.concatenate(rows), np.concatenate(to)
 
     def distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared asymmetric distances of queries to codes of one list."""
@@ -207,13 +214,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # A sample of FIT_ROWS rows at most: that many vectors come to the driver, whatever the input.
     sample = reps.orderBy(F.xxhash64("_k")).limit(FIT_ROWS).select("dim", "unit").collect()
     indexes: dict[int, Index] = {}
+    n = reps.count()
     for dim in sorted({r["dim"] for r in sample}):
-        indexes[dim] = Index(np.stack([np.frombuffer(r["unit"], dtype=np.float64) for r in sample if r["dim"] == dim]), float(np.sqrt(2 - 2 * threshold)))
+        part = np.stack([np.frombuffer(r["unit"], dtype=np.float64) for r in sample if r["dim"] == dim])
+        indexes[dim] = Index(part, float(np.sqrt(2 - 2 * threshold)), n * len(part) // len(sample))
     base = checkpointed(reps.mapInArrow(_place(indexes, True), "dim int, list int, _k long, m long, unit binary, code binary, off double"))
     query = checkpointed(reps.mapInArrow(_place(indexes, False), "dim int, list int, _k long, unit binary"))
     sizes = base.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / BASE_BLOCK).cast("int").alias("nb"))
     asked = query.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq"))
-    # One row per list: at most MAX_LISTS for each length of the sample, one for each other length.
+    # One row per list: FIT_ROWS / PER_LIST of them at most for the lengths of the sample, one for each other length.
     blocks = checkpointed(sizes.join(asked, ["dim", "list"]))
     cut = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
