@@ -1,4 +1,11 @@
-"""A corpus from raw documents to token ids, in stages of the operators in siteloom.llm."""
+"""A corpus from raw documents to token ids, in stages of the operators in siteloom.llm.
+
+Defined results: a null or empty text is scored like any other and, where it is kept, equals other empty texts, is near nothing, has no
+words for the mix, so it is taken 0 times or up to twice by its share, and has no ids. Rows that share id and text are one document, which
+stays or goes as a whole. Texts of any length stay whole. A table of documents without rows gives none; without
+labels nothing is known against a document and all are kept. Further columns of documents are carried to the last stage, whatever
+their names.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm import exact_dedup, minhash_dedup, mixing, quality, sentencepiece_lattice
-from siteloom.llm.common import scratch_path, table
+from siteloom.llm.common import drop_scratch, scratch_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,11 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage keeps is written to the shared folder and read again, and dropped when the next has it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     top = scratch_path(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{top}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_scratch(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

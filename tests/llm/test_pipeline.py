@@ -56,3 +56,44 @@ def test_stages_like_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in outs[4]) == sorted(r.doc_id for r in outs[3])
     assert all(list(r.token_ids) == m.encode(text[r.doc_id]) for r in outs[4])
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.n_tokens) for r in outs[4])
+
+
+def staged(spark, path, docs, labels, schema):
+    """What each stage gives, in order."""
+    spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    now, outs = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, path).write.parquet(f"{path}/{name}")
+        now = spark.read.parquet(f"{path}/{name}")
+        outs.append(now)
+    return outs
+
+
+def test_odd_rows_and_names(spark, tmp_path):
+    docs, labels = corpus()
+    names = ["_sha", "_keep", "_free0", "__score", "score", "class_id", "_k", "token_ids", "size"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    odd = [(5000, None, None, None, None), (5001, "", "en", "b", 0), (5002, " \n", "en", "b", 0), (5003, "long text here " * 30000, "en", "a", 1), (None, "a text without id", "en", "a", 1), docs[4], docs[4]]
+    rows = [(*d, *[f"{n}{d[0]}" for n in names]) for d in [*docs, *odd]]
+    outs = staged(spark, str(tmp_path), rows, [*labels, (None, 1, 0), (5001, None, None)], schema)
+    given = spark.createDataFrame(rows, schema)
+    for out in outs[:-1]:
+        assert out.columns == given.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    exact = outs[1].collect()
+    # Rows that share id and text are one document.
+    assert len({r.doc_id for r in exact}) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in exact})
+    near = {r.doc_id for r in outs[2].collect()}
+    assert near == set(near_brute([(r.doc_id, r.text) for r in exact if r.doc_id is not None]).values()) | ({None} & {r.doc_id for r in exact})
+    m = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    text = {r.doc_id: r.text for r in exact}
+    assert all(list(r.token_ids) == m.encode(text[r.doc_id] or "") for r in outs[4].collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert [out.count() for out in staged(spark, str(tmp_path / "none"), [], [], schema)] == [0] * 5
+    docs, _ = corpus()
+    outs = staged(spark, str(tmp_path / "unlabelled"), docs, [], schema)
+    assert outs[0].count() == len(docs) and outs[4].count() > 0
