@@ -21,8 +21,9 @@ score less 10.
 
 The ids then go back to the texts by a join that is split by heat: the most frequent segments, CACHE_BYTES at most, are broadcast;
 each other one is a row (text's key, segment), joined to the lattice's answers and gathered by text. The texts meet them as lists of
-numbers, each a segment's place in the broadcast table or a gap, in a byte or two where the segment is frequent. A segment outside the
-broadcast table can't be hot, as many others are more frequent. In Python texts are cut, segments are looked up by a 64-bit hash
+numbers, each a segment's place in the broadcast table or a gap, in a byte or two where the segment is frequent; one shuffle of
+these serves both sides. A segment outside the broadcast table can't be hot, as many others are more frequent, and equal rows have a
+key for each partition they come from. In Python texts are cut, segments are looked up by a 64-bit hash
 and ids are laid end to end; no text is encoded there.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is read back as a space; equal rows give equal results, one
@@ -390,24 +391,6 @@ class Answers:
         out[np.repeat(to, n) + step] = self.ids[np.repeat(self.begin[at], n) + step]
 
 
-def _rare(cutter: Cutter, frequent):
-    """_k, segment: the segments of each text that aren't broadcast."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Answers = frequent.value
-        for batch in it:
-            keys = batch.column("_k").to_numpy(zero_copy_only=False)
-            for lo, _, texts in _parts(batch):
-                cut = Cut(cutter, texts)
-                at = np.flatnonzero(known.find(cut.h) < 0)
-                _, one = np.unique(np.stack([cut.doc[at].astype(U), cut.h[at]]), axis=1, return_index=True) if len(at) else (None, at)
-                at = at[one]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo + cut.doc[at]]), pa.array(cut.strings(at), pa.string())], names=["_k", "segment"])
-        give_back()
-
-    return run
-
-
 def written_short(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where each number ends): seven bits a byte, the lowest first, the eighth set where more follow."""
     n = 1 + (v >= 1 << 7).astype(np.int64) + (v >= 1 << 14) + (v >= 1 << 21) + (v >= 1 << 28)
@@ -436,7 +419,8 @@ def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _pack(cutter: Cutter, frequent):
-    """_id, _k, sha and the segments of each text: places (one more than in the broadcast table, 0 for a gap) and the gaps' hashes."""
+    """_id, _k, sha and the segments of each text: places (one more than in the broadcast table, 0 for a gap), the gaps' hashes, and rare,
+    the segments that stand there, each once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Answers = frequent.value
@@ -446,17 +430,28 @@ def _pack(cutter: Cutter, frequent):
                 at = known.find(cut.h) + 1
                 data, ends = written_short(at)
                 gaps = np.flatnonzero(at == 0)
+                _, one = np.unique(np.stack([cut.doc[gaps].astype(U), cut.h[gaps]]), axis=1, return_index=True) if len(gaps) else (None, gaps)
+                rare = np.sort(gaps[one])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cut.first).astype(np.int32)), pa.array(cut.strings(rare), pa.string()))
                 sha = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).digest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(lo, hi - lo) for c in ("_id", "_k")]
-                    + [pa.array(sha, pa.binary()), _slices(data, np.append(0, ends)[cut.first]), _slices(cut.h[gaps].view(np.uint8), 8 * np.searchsorted(gaps, cut.first))],
-                    names=["_id", "_k", "sha", "places", "gaps"],
+                    + [pa.array(sha, pa.binary()), _slices(data, np.append(0, ends)[cut.first]), _slices(cut.h[gaps].view(np.uint8), 8 * np.searchsorted(gaps, cut.first)), lists],
+                    names=["_id", "_k", "sha", "places", "gaps", "rare"],
                 )
         give_back()
 
     return run
 
 
+def _asked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_k, segment: the segments that each text asks for. It takes all columns, so that the shuffle before it is the one before the join."""
+    for batch in it:
+        rare = batch.column("rare")
+        keys = batch.column("_k").take(pc.list_parent_indices(rare))
+        yield pa.RecordBatch.from_arrays([keys, pc.list_flatten(rare)], names=["_k", "segment"])
+
+
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the bytes of all values of a binary column, where each value begins and one past the last)."""
     values = column.to_pylist()
@@ -521,7 +516,8 @@ def _frequent(answers: DataFrame) -> DataFrame:
 def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: bool) -> DataFrame:
     spark = df.sparkSession
     # Texts that share a key share answers, which are right for any of them.
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("_k"))
+    key = F.xxhash64(F.col(id_col).cast("long"), text_col, F.spark_partition_id())
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), key.alias("_k"))
     cutter = Cutter(pieces)
     counted = texts.select("_text").mapInArrow(_count(cutter), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     counted, at = written(counted, "segments")
@@ -529,14 +525,11 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: b
     drop_scratch(spark, at)
     release(spark)
     frequent = spark.sparkContext.broadcast(Answers.of(_frequent(answers).select("segment", "ids", "n").toArrow()))
-    rare = texts.select("_k", "_text").mapInArrow(_rare(cutter, frequent), "_k long, segment string")
-    found = rare.join(answers.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
-    # A table of its own, so that both sides of the next join are plain exchanges and rows that are equal as a whole are split.
-    found, _ = written(found, "rare")
-    release(spark)
+    packed = texts.mapInArrow(_pack(cutter, frequent), "_id long, _k long, sha binary, places binary, gaps binary, rare array<string>").repartition("_k")
+    asked = packed.mapInArrow(_asked, "_k long, segment string")
+    found = asked.join(answers.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
     none = F.array().cast("array<struct<segment:string,ids:array<int>>>")
-    packed = texts.mapInArrow(_pack(cutter, frequent), "_id long, _k long, sha binary, places binary, gaps binary")
-    whole = packed.join(found, "_k", "left").select("_id", "sha", "places", "gaps", F.coalesce("_rare", none).alias("_rare"))
+    whole = packed.join(found, "_k", "left").select("_id", "_k", "rare", "sha", "places", "gaps", F.coalesce("_rare", none).alias("_rare"))
     return whole.mapInArrow(_fill(frequent, pieces.as_bytes() if check else None), "_id long, n_tokens long, token_ids array<int>, sha binary" + ", ok boolean" * check)
 
 
