@@ -123,21 +123,22 @@ def records_with_payload(spark: SparkSession, path: str) -> DataFrame:
 def archive_digest(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, from the rebuilt records.
 
-    A response's payload is what stands behind the headers of its record; a revisit's, which has none, is that of the response it
-    shares an address with. Each record must be as long as its own header says, and its payload must give the digest that the header
+    A response's payload is what stands behind the headers of its record; a revisit, which has none, is given length and digest of the
+    payload at its address. Each record must be as long as its own header says, and its payload must give the digest that the header
     names.
     """
     head = F.octet_length(F.encode("header", "UTF-8"))
-    block = head - F.octet_length(F.encode(F.substring_index("header", CRLF * 2, 1), "UTF-8")) - 4
+    block = F.octet_length("record") - 4 - F.octet_length(F.encode(F.substring_index("header", CRLF * 2, 1), "UTF-8")) - 4
     said = F.regexp_extract("header", "msgtype=response\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long")
-    cut = records_with_payload(spark, path).select("page_id", "record_type", "refers_to", "sha1", "address", said.alias("_said"), block.cast("long").alias("_block"), F.substring("record", head + 1, F.octet_length("record") - head - 4).alias("_body"))
-    cut = cut.select("page_id", "record_type", "refers_to", "sha1", "address", "_said", "_block", F.octet_length("_body").cast("long").alias("_n"), F.sha1("_body").alias("_sha1"))
-    rows = checkpointed(cut.filter(F.assert_true(F.col("_block") + F.col("_n") == F.col("_said"), "a record's length isn't its header's").isNull()))
-    response = F.col("record_type") == "response"
-    full = checkpointed(rows.filter(response).groupBy("address").agg(F.max("_n").alias("payload_bytes"), F.max("_sha1").alias("payload_digest"), (F.min("_sha1") == F.max("_sha1")).alias("_one")))
-    found = rows.join(full, "address")
-    same = F.assert_true(F.col("_one") & (F.col("sha1") == F.col("payload_digest")), "a header's digest isn't its payload's").isNull()
-    return found.filter(same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    long = F.assert_true(block.cast("long") == said, "a record's length isn't its header's").isNull()
+    own = ["page_id", "record_type", "refers_to", "sha1", "address"]
+    records = records_with_payload(spark, path).filter(long).select(*own, F.substring("record", head + 1, F.octet_length("record") - head - 4).alias("_body"))
+    sized = lambda df, body: df.select(*[c for c in own if c in df.columns], F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    responses = sized(records.filter("record_type = 'response'"), "_body")
+    # Rows of fixed size on both sides, and both are scans: an address that many revisits share is split.
+    revisits = records.filter("record_type <> 'response'").select(*own).join(sized(read_payloads(spark, path), "payload"), "address")
+    same = F.assert_true(F.col("sha1") == F.col("payload_digest"), "a header's digest isn't its payload's").isNull()
+    return responses.unionByName(revisits.select(*responses.columns)).filter(same).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
