@@ -15,6 +15,7 @@ from siteloom.operators import content, frontier, robots, sitemaps, store
 from siteloom.plans import crawl
 from siteloom.plans.queries import _HREFS, _NOW, _PAGE_BASE, _PARAGRAPHS, _RECORDS, _RESOLVED, _UNESCAPE, _explicit, _links, _queue, _read, _urlsets, registry
 from siteloom.shared import checkpointed, scratch_path
+from siteloom.sources import fetch
 from siteloom.streaming import crawl as stream
 
 QUERIES, ORACLES, query = registry()
@@ -350,6 +351,18 @@ def charset_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages", "page_id", "html").select("page_id", text.decode(F.encode(title, "UTF-8"), named).alias("title"))
 
 
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE md5(regexp_extract(html, '<title>([^<]*)</title>', 1)) END AS title_md5, page_id % 5 = 0 AS failed FROM pages")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1, SRC-2: urls that hold their content, so no network is needed, in two charsets; some lead nowhere."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    named = F.concat(F.lit("data:text/html;charset=utf-8;id="), F.col("page_id").cast("string"), F.lit(";base64,"))
+    data = F.concat(named, F.regexp_replace(F.base64(F.encode(title, "UTF-8")), r"\s", ""))
+    rows = _read(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("nowhere:"), F.col("page_id").cast("string"))).otherwise(data).alias("url"))
+    rows = checkpointed(rows)
+    got = fetch.fetch(rows.select("url"), delay=0.0).select("url", fetch.html().alias("html"), F.col("error").isNotNull().alias("failed"))
+    return rows.join(got, "url").select("page_id", F.md5(F.encode("html", "UTF-8")).alias("title_md5"), "failed")
+
+
 # --- crawls
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that link to two others each, on three sites; every eleventh is a site of its own."""
