@@ -9,7 +9,8 @@ marker U+241B and a letter, the marker itself U+241B and 'z'. The marker is esca
 one to one. `parse` reads the turns back from the formatted string alone; `loss_text` reads what lies under the mask.
 
 Defined results: null text or role counts as empty; turns are sorted by turn, null first, ties by role and text; repeated rows
-are turns of their own; rows with a null conversation id form one conversation; other columns are never read. A conversation is
+are turns of their own; rows with a null conversation id form one conversation; other columns are never read and may have any
+names; a text of any length is one turn. A conversation is
 one output row, so it must fit one task's memory as a value; nothing else is gathered.
 """
 
@@ -24,6 +25,7 @@ START, NEXT, END = "<|start|>", "<|next|>", "<|end|>\n"
 MARK = "␛"
 #: Control strings that may not stand in a text, with the letter that stands for each.
 ESCAPES = [("<|", "a"), ("<s>", "b"), ("</s>", "c"), ("[INST]", "d"), ("[/INST]", "e"), ("<<SYS>>", "f"), ("<</SYS>>", "g")]
+RUN = 256
 ROLE_ESCAPES = [*ESCAPES, ("\n", "n")]
 
 
@@ -57,21 +59,21 @@ def format_conversations(df: DataFrame, loss_role: str = "assistant") -> DataFra
             (x["role"] == loss_role).alias("loss"),
         ),
     )
-    zero = F.lit(0).cast("long")
-    spans = F.aggregate(
-        "p",
-        F.struct(zero.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda s, x: F.struct(
+    span = "struct<start:bigint,length:bigint>"
+    state = [F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("run"), F.array().cast(f"array<array<{span}>>").alias("runs")]
+
+    def step(s: Column, x: Column) -> Column:
+        # Spans are kept in runs of RUN, so that adding one doesn't copy all.
+        one = F.struct((s["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length"))
+        full = F.size(s["run"]) >= RUN
+        run = F.when(full, F.array(one)).otherwise(F.array_append(s["run"], one))
+        return F.struct(
             (s["at"] + F.length(x["head"]) + F.length(x["body"])).alias("at"),
-            F.when(
-                x["loss"],
-                F.array_append(s["spans"], F.struct((s["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length"))),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+            F.when(x["loss"], run).otherwise(s["run"]).alias("run"),
+            F.when(x["loss"] & full, F.array_append(s["runs"], s["run"])).otherwise(s["runs"]).alias("runs"),
+        )
+
+    spans = F.aggregate("p", F.struct(*state), step, lambda s: F.flatten(F.array_append(s["runs"], s["run"])))
     text = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"])), ""), F.lit(END))
     return convs.select("conv_id", parts.alias("p")).select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
 

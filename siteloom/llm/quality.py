@@ -33,10 +33,10 @@ from .wordhash import Family, Texts, chunks
 
 PASSAGE = 64
 TRAIN_DOCS = 1500
-TRAIN_PASSAGES = 40_000
+TRAIN_PASSAGES = 16_000
 HIDDEN, GATE = 24, 12
 FEW = 4
-EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.01, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.01, 1e-3
 #: Bytes are counted one by one up to 0x7F; the others are one class. What tells scripts and languages apart are the trigrams.
 CLASSES, TRIGRAMS = 129, 1024
 FEATURES = TRIGRAMS + CLASSES + 5
@@ -129,7 +129,7 @@ class Model:
         n = sum(map(len, bags))
         self.mean = (sum(b.sum(axis=0, dtype=float) for b in bags) / n).astype(np.float32)
         square = sum(((b - self.mean) ** 2).sum(axis=0, dtype=float) for b in bags) / n
-        self.scale = (np.sqrt(square) + 1e-3).astype(np.float32)
+        self.scale = (np.sqrt(square) + 1e-2).astype(np.float32)
         one, two = ({k: np.zeros(s) for k, s in self.SHAPES.items()} for _ in range(2))
         step = 0
         for epoch in range(EPOCHS):

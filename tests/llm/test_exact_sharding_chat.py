@@ -78,6 +78,7 @@ def test_chat(spark):
         (1, 0, "user", "<|start|>user\nhi <|end|>\n"), (1, 1, "user", f"{mark}{mark}a <s>"), (1, 2, "assistant", "one <|next|>"), (1, 3, "assistant", ""),
         (1, 4, "assistant", f"two {mark}z\n"), (2, 0, "a\nb<|x", "t"), (3, 0, None, None), (4, None, "assistant", "é" * 70000), (4, 1, "user", "[/INST]</s>"),
         (None, 0, "assistant", "n"), (5, 1, "user", "b"), (5, 1, "user", "a"), (5, 1, "user", "a"),
+        *((6, t, "assistant" if t % 3 else "user", f"t{t}") for t in range(1000)),
     ]
     df = spark.createDataFrame([(*r, "f") for r in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(4)
     formatted = chat_format.format_conversations(df)
