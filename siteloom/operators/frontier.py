@@ -36,9 +36,11 @@ def normalise_links(links: DataFrame, base: str = "base", href: str = "href", se
     return bare.withColumn("_url", resolve(F.col(base), F.col("_href"))).filter(url_explicit(F.col("_url"), settings.nofollow)).withColumn("url", strip_slashes(F.col("_url"))).drop("_href", "_url")
 
 
-def _lengths(texts: DataFrame, column: str) -> list[int]:
-    """The lengths that occur in a column of bases, LONGEST_BASE + 1 at most."""
-    return sorted(r[0] for r in texts.select(F.length(column)).distinct().filter(F.length(column) <= LONGEST_BASE).collect())
+def base_lengths(bases: DataFrame) -> tuple[list[int], list[int]]:
+    """The lengths that bases, and their stripped forms, have: one row of LONGEST_BASE + 1 numbers at most. For route(), which asks for
+    them itself unless they are given."""
+    size = lambda c: F.array_sort(F.collect_set(F.when(F.length(c) <= LONGEST_BASE, F.length(c))))
+    return tuple(bases.agg(size(F.col("base")).alias("plain"), size(_mobile(F.col("base"))).alias("mobile")).first())
 
 
 def _prefixes(text: Column, lengths: list[int]) -> Column:
@@ -46,20 +48,21 @@ def _prefixes(text: Column, lengths: list[int]) -> Column:
     return F.transform(F.filter(known, lambda n: n <= F.length(text)), lambda n: F.substring(text, F.lit(1), n))
 
 
-def route(urls: DataFrame, bases: DataFrame) -> DataFrame:
+def route(urls: DataFrame, bases: DataFrame, lengths: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """DF-1, J-3: urls with base and depth of the first base that FN-6 attributes them to, by depth and seq; null where none does.
 
     A base is a scheme and a host, so the bases that an url begins with are among the prefixes of its own scheme and host, and only as
     long as bases are: the theta join is an equi-join with those few. Mobile hosts are joined likewise on their stripped forms.
-    bases is read three times and should be cheap to read.
+    bases is read three times and should be cheap to read. lengths: those of bases, by base_lengths().
     """
+    of_plain, of_mobile = lengths or base_lengths(bases)
     site = bases.select(F.col("base").alias("_b"), F.col("depth").alias("_d"), F.col("seq").alias("_s"))
     is_mobile = lambda c: c.startswith("http://m.")
     known = urls.select("url").distinct()
     fixed, forms = site.filter(~is_mobile(F.col("_b"))), site.withColumn("_m", _mobile(F.col("_b")))
-    plain = known.filter(~is_mobile(F.col("url"))).select("url", F.explode(_prefixes(F.coalesce(parse_base(F.col("url")), F.lit("")), _lengths(fixed, "_b"))).alias("_key"))
+    plain = known.filter(~is_mobile(F.col("url"))).select("url", F.explode(_prefixes(F.coalesce(parse_base(F.col("url")), F.lit("")), of_plain)).alias("_key"))
     plain = plain.join(fixed, F.col("_key") == F.col("_b"))
-    keys = known.select("url", F.explode(_prefixes(_mobile(F.col("url")), _lengths(forms, "_m"))).alias("_key"))
+    keys = known.select("url", F.explode(_prefixes(_mobile(F.col("url")), of_mobile)).alias("_key"))
     mobile = keys.join(forms, F.col("_key") == F.col("_m")).filter(is_mobile(F.col("url")) | is_mobile(F.col("_b")))
     met = plain.select("url", "_b", "_d", "_s").union(mobile.select("url", "_b", "_d", "_s"))
     first = met.groupBy("url").agg(F.min_by(F.struct("_b", "_d"), F.struct("_d", "_s", "_b")).alias("_f"))

@@ -67,7 +67,9 @@ class Store:
         be read, isn't stored. The site's own change time is the latest of its pages': see websites()."""
         sites = self.read("websites").groupBy("url").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("website_id"))
         sites = sites.filter(F.assert_true(F.col("_n") == 1, "a site is stored twice").isNull()).select(F.col("url").alias("base"), "website_id")
-        carry = created_carry(self.read("webpages"), F.lit(None).cast("timestamp_ntz"))
+        # Of the stored versions only those of pages at hand are aggregated.
+        before = self.read("webpages").join(pages.select("url").distinct(), "url", "left_semi")
+        carry = created_carry(before, F.lit(None).cast("timestamp_ntz"))
         rows = pages.join(sites, "base").join(carry, "url", "left")
         times = ("published_time", "modified_time", "expiration_time")
         rows = rows.withColumns({t: parse_datetime(F.col(f"head.{t}")) for t in times})

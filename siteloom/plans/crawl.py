@@ -56,6 +56,7 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
     numbered = start.select("url").distinct().withColumns({"depth": F.lit(0), "seq": F.xxhash64("url")})
     queue = checkpointed(frontier.append_sites(numbered, numbered.limit(0).withColumn("base", F.col("url")), settings).select("base", "depth", strip_slashes(F.col("url")).alias("url")))
     sites = queue.select("base", "depth", F.lit(0).cast("long").alias("seq")).distinct()
+    lengths = frontier.base_lengths(sites)
     visited = queue.select("url", "base", "depth", F.lit(0).alias("hop"))
     fetched: DataFrame | None = None
     metrics: list[dict[str, int]] = []
@@ -72,9 +73,9 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
         out = got.filter("followable").select("base", "depth", F.explode("hrefs").alias("href"))
         found = frontier.normalise_links(out, settings=settings).groupBy("url").agg(F.min("depth").alias("from_depth"))
         new = checkpointed(frontier.unvisited(found, visited))
-        routed = frontier.route(new, sites)
-        far = routed.filter("base is null").select("url", (F.col("from_depth") + 1).alias("depth")).filter(F.col("depth") <= settings.crawl_depth).withColumn("base", parse_base(F.col("url"))).filter("base is not null")
-        queue = checkpointed(routed.filter("base is not null").select("base", "depth", "url").union(far.select("base", "depth", "url")))
+        routed = frontier.route(new, sites, lengths).withColumn("far", F.col("base").isNull())
+        placed = routed.select(F.coalesce("base", parse_base(F.col("url"))).alias("base"), F.coalesce("depth", F.col("from_depth") + 1).alias("depth"), "url", "far")
+        queue = checkpointed(placed.filter(F.col("base").isNotNull() & (~F.col("far") | (F.col("depth") <= settings.crawl_depth))).drop("far"))
         n = queue.count()
         metrics.append({"hop": hop, **seen.get, "found": n})
         log.info("hop %(hop)d: fetched %(fetched)d, stored %(stored)d, followed %(followed)d, found %(found)d new urls", metrics[-1])
@@ -87,4 +88,5 @@ def crawl(spark: SparkSession, start: DataFrame, pages: DataFrame, rules: DataFr
         if settings.crawl_depth > 0:
             more = queue.select("base", "depth").distinct().join(sites.select("base", "depth"), ["base", "depth"], "left_anti").withColumn("seq", F.lit(hop + 1).cast("long"))
             sites = checkpointed(sites.union(more))
+            lengths = frontier.base_lengths(sites)
     return Crawl(fetched, visited, metrics)
