@@ -34,7 +34,7 @@ row, so a segment must fit a task as a value (a few hundred bytes a character),
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -419,8 +419,8 @@ def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _pack(cutter: Cutter, frequent):
-    """_id, _k, sha and the segments of each text: places (one more than in the broadcast table, 0 for a gap), the gaps' hashes, and rare,
-    the segments that stand there, each once."""
+    """_id, _k, sha and the segments of each text: places (one more than in the broadcast table, 0 for a gap), rare, the
+    segments that stand in gaps, each once, and for each gap which of them it is."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Answers = frequent.value
@@ -433,10 +433,14 @@ def _pack(cutter: Cutter, frequent):
                 _, one = np.unique(np.stack([cut.doc[gaps].astype(U), cut.h[gaps]]), axis=1, return_index=True) if len(gaps) else (None, gaps)
                 rare = np.sort(gaps[one])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cut.first).astype(np.int32)), pa.array(cut.strings(rare), pa.string()))
+                order = np.lexsort((cut.h[rare], cut.doc[rare]))
+                key = lambda at: np.stack([cut.doc[at].astype(U), cut.h[at]], axis=1).view([("d", U), ("h", U)]).ravel()
+                which = order[np.searchsorted(key(rare)[order], key(gaps))] - np.searchsorted(rare, cut.first)[cut.doc[gaps]] if len(gaps) else gaps
+                gap_data, gap_ends = written_short(which)
                 sha = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).digest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(lo, hi - lo) for c in ("_id", "_k")]
-                    + [pa.array(sha, pa.binary()), _slices(data, np.append(0, ends)[cut.first]), _slices(cut.h[gaps].view(np.uint8), 8 * np.searchsorted(gaps, cut.first)), lists],
+                    + [pa.array(sha, pa.binary()), _slices(data, np.append(0, ends)[cut.first]), _slices(gap_data, np.append(0, gap_ends)[np.searchsorted(gaps, cut.first)]), lists],
                     names=["_id", "_k", "sha", "places", "gaps", "rare"],
                 )
         give_back()
@@ -472,7 +476,11 @@ def _fill(frequent, decoded: list[bytes] | None):
                 at, ends = read_short(data)
                 at -= 1
                 here, gaps = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-                to = own.find(_joined(part.column("gaps"))[0].view(U))
+                which, _ = read_short(_joined(part.column("gaps"))[0])
+                doc = np.searchsorted(bounds, ends[gaps] - 1, side="right") - 1
+                asked = part.column("rare")
+                first = np.append(0, np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False)))
+                to = own.find(_segment_hashes(pc.list_flatten(asked).to_pylist())[first[doc] + which])
                 if (to < 0).any():
                     raise ValueError("a segment has no answer")
                 n = np.zeros(len(at), dtype=np.int64)
@@ -499,18 +507,19 @@ def _decoded(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))[1:]
 
 
-def _frequent(answers: DataFrame) -> DataFrame:
-    """The most frequent rows of answers (segment, n, ids), CACHE_BYTES at most: whole classes of frequency, from the highest on. There are
-    a few hundred classes, so nothing has to be sorted."""
+def _split(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The most frequent rows of answers (segment, n, ids), CACHE_BYTES at most, and the others: whole classes of frequency, from the
+    highest on. There are a few hundred classes, so nothing has to be sorted."""
     kind = F.floor(F.log2("n") * 16)
     left, least = CACHE_BYTES, None
-    short = answers.filter(F.length("segment") <= BITS)
-    for r in sorted(short.groupBy(kind.alias("kind")).agg(F.sum(F.octet_length("segment") + 4 * F.size("ids") + 24).alias("size")).collect(), key=lambda r: -r["kind"]):
+    short = F.length("segment") <= BITS
+    for r in sorted(answers.filter(short).groupBy(kind.alias("kind")).agg(F.sum(F.octet_length("segment") + 4 * F.size("ids") + 24).alias("size")).collect(), key=lambda r: -r["kind"]):
         left -= r["size"]
         if left < 0:
             break
         least = r["kind"]
-    return short.filter(kind >= least) if least is not None else short.limit(0)
+    chosen = short & (kind >= least) if least is not None else F.lit(False)
+    return answers.filter(chosen), answers.filter(~chosen)
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: bool) -> DataFrame:
@@ -524,10 +533,11 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, pieces: Pieces, check: b
     answers, _ = written(encode_segments(counted, pieces), "answers")
     drop_scratch(spark, at)
     release(spark)
-    frequent = spark.sparkContext.broadcast(Answers.of(_frequent(answers).select("segment", "ids", "n").toArrow()))
+    common, others = _split(answers)
+    frequent = spark.sparkContext.broadcast(Answers.of(common.select("segment", "ids", "n").toArrow()))
     packed = texts.mapInArrow(_pack(cutter, frequent), "_id long, _k long, sha binary, places binary, gaps binary, rare array<string>").repartition("_k")
     asked = packed.mapInArrow(_asked, "_k long, segment string")
-    found = asked.join(answers.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
+    found = asked.join(others.select("segment", "ids"), "segment").groupBy("_k").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
     none = F.array().cast("array<struct<segment:string,ids:array<int>>>")
     whole = packed.join(found, "_k", "left").select("_id", "_k", "rare", "sha", "places", "gaps", F.coalesce("_rare", none).alias("_rare"))
     return whole.mapInArrow(_fill(frequent, pieces.as_bytes() if check else None), "_id long, n_tokens long, token_ids array<int>, sha binary" + ", ok boolean" * check)
