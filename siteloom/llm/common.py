@@ -58,6 +58,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of fixed-size keys (80 bytes at most) that are broadcast.
+SMALL = 500_000
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str] | Column, how: str) -> DataFrame:
+    """rows joined to keys, a checkpointed table of fixed-size rows: broadcast where it is small, so that rows stay where they are."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, how)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a folder of scratch_path, wherever it is stored."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_names, release
+from .common import checkpointed, free_names, join_keys, release
 from .components import connected_components
 from .wordhash import Family, Texts, U, chunks, give_back, mix
 
@@ -248,4 +248,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of df that stay, one document of each class, with all their columns."""
     name = free_names(df, 1)[0]
     gone = checkpointed(near_duplicates(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias(name)).distinct())
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    return join_keys(df, gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -33,7 +33,7 @@ from .wordhash import Family, Texts, chunks
 
 PASSAGE = 64
 TRAIN_DOCS = 1500
-TRAIN_PASSAGES = 16_000
+TRAIN_PASSAGES = 12_000
 HIDDEN, GATE = 24, 12
 FEW = 4
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.01, 1e-3
@@ -197,13 +197,14 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if left < 0:
             break
         taken.add(r["_id"])
-    rows = sorted(bags.filter(F.col("_id").isin(list(taken))).select("_id", "_y", "bag").collect() if taken else [], key=lambda r: r["_id"])
-    label = np.array([r["_y"] for r in rows], dtype=float)
+    # As Arrow, so that the driver holds the sample once.
+    rows = bags.filter(F.col("_id").isin(sorted(taken))).select("_id", "_y", "bag").toArrow().sort_by("_id")
+    label = rows.column("_y").to_numpy().astype(float)
     model = Model()
-    if len(rows) and 0 < label.mean() < 1:
-        model.fit([np.frombuffer(r["bag"], dtype=np.float16).reshape(-1, FEATURES) for r in rows], label)
+    if len(label) and 0 < label.mean() < 1:
+        model.fit([np.frombuffer(b.as_buffer(), dtype=np.float16).reshape(-1, FEATURES) for b in rows.column("bag")], label)
     else:
-        share = float(np.clip(label.mean() if len(rows) else 0.5, 1e-6, 1 - 1e-6))
+        share = float(np.clip(label.mean() if len(label) else 0.5, 1e-6, 1 - 1e-6))
         model.p = {k: np.zeros(s) for k, s in Model.SHAPES.items()} | {"d": np.log(share / (1 - share))}
     return model
 

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from siteloom.llm import chat_format, exact_dedup, sharding
+from siteloom.llm import chat_format, common, exact_dedup, sharding
 
 
 def jump(key, n):
@@ -62,7 +62,7 @@ def test_exact_dedup(spark):
 
 @pytest.mark.parametrize("small", [0, 500_000])
 def test_exact_dedup_with_names_used_inside(spark, monkeypatch, small):
-    monkeypatch.setattr(exact_dedup, "SMALL", small)
+    monkeypatch.setattr(common, "SMALL", small)
     names = ["_free0", "_sha", "_keep", "_g", "_len", "_pre", "text_sha256", "keep_id", "group_size"]
     texts = ["a  b", "a b", "c", "c", "d" * 300 + "1", "d" * 300 + "2", None, ""]
     df = spark.createDataFrame([(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
