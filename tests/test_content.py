@@ -22,6 +22,11 @@ def test_tree():
     assert nodes("<p>x<!--c-->y</p>", frozenset("p"))[0][3:5] == ("x", "xcy")
 
 
+def test_references():
+    assert [n[4] for n in nodes("<p>&amp</p><p>&copy=2 &notit; &not;</p><p>&#65;&#x42 &hellip;&amp;lt;</p>", frozenset("p"))] == ["&amp", "&copy=2 &notit; ¬", "AB …&lt;"]
+    assert nodes("<a href='/x?a=1&copy=2&amp;b=3'>", frozenset("a"))[0][2] == {"href": "/x?a=1&copy=2&b=3"}
+
+
 def test_long_page():
     assert len(nodes("<div><p>x</p></div>" * 20000, frozenset("p"))) == 20000
 

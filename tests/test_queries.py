@@ -1,5 +1,7 @@
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from siteloom.plans import queries, stored
@@ -21,3 +23,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def write_pages(folder, rows) -> str:
+    """A folder with a table of pages: rows (page_id, url, html)."""
+    pq.write_table(pa.table(dict(zip(("page_id", "url", "html"), map(list, zip(*rows, strict=True)), strict=True))), str(folder / "pages.parquet"))
+    return str(folder)
+
+
+#: Titles and headings that were cut within a character reference, as in the larger tables.
+CUT = [(i, f"http://a.nl/{i}", f'<html><head><meta charset="utf-8"><title>T &amp;{end}</title></head><body><h1>H &amp;{end}</h1><p>x &lt;y&gt;{end}</p><a href="/b">b</a></body></html>') for i, end in enumerate(("&amp", "&am", "&quo", "&", " &copy;", "&lt"))]
+
+
+@pytest.mark.parametrize("name", ["paragraphs_with_headings"])
+def test_cut_references_like_sql(spark, tmp_path, name):
+    assert_same(spark, QUERIES[name], ORACLES[name], write_pages(tmp_path, CUT))
