@@ -38,3 +38,12 @@ CUT = [(i, f"http://a.nl/{i}", f'<html><head><meta charset="utf-8"><title>T &amp
 @pytest.mark.parametrize("name", ["paragraphs_with_headings"])
 def test_cut_references_like_sql(spark, tmp_path, name):
     assert_same(spark, QUERIES[name], ORACLES[name], write_pages(tmp_path, CUT))
+
+
+#: Pages that share an url, among them one that was stored again and one that wasn't, and two of one content.
+SHARED = [(i, f"http://a.nl/{i // 2 % 3}", f"<title>t</title><h1>H</h1><p>p{i // 4}</p><p>q{i}</p>") for i in range(14)]
+
+
+@pytest.mark.parametrize("name", ["stored_paragraphs"])
+def test_shared_urls_like_sql(spark, tmp_path, name):
+    assert_same(spark, QUERIES[name], ORACLES[name], write_pages(tmp_path, SHARED))
