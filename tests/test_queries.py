@@ -47,3 +47,11 @@ SHARED = [(i, f"http://a.nl/{i // 2 % 3}", f"<title>t</title><h1>H</h1><p>p{i //
 @pytest.mark.parametrize("name", ["stored_paragraphs"])
 def test_shared_urls_like_sql(spark, tmp_path, name):
     assert_same(spark, QUERIES[name], ORACLES[name], write_pages(tmp_path, SHARED))
+
+
+def test_closed_far_site_like_sql(spark, tmp_path):
+    """The way to the first closed page on a site of its own, and what lies behind it."""
+    way = [3266]
+    while way[-1]:
+        way.append((way[-1] - 1) // 2)
+    assert_same(spark, QUERIES["crawl_rules"], ORACLES["crawl_rules"], write_pages(tmp_path, [(i, "", "") for i in [*way, 6533, 6534]]))
