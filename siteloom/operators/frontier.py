@@ -104,14 +104,17 @@ def fresh_pages(webpages: DataFrame, now: Column, settings: Settings = DEFAULT)
     return webpages.filter(F.col("crawl_modified") > now - F.make_dt_interval(F.lit(settings.revisit_after)))
 
 
-def warm_start(websites: DataFrame, webpages: DataFrame, now: Column, settings: Settings = DEFAULT, skip_fresh: bool = False) -> DataFrame:
-    """DF-7, J-1: frontier rows of the stored sites and, as it runs, of their fresh pages; skip_fresh leaves the pages out."""
+def warm_start(websites: DataFrame, webpages: DataFrame, now: Column, settings: Settings = DEFAULT, skip_fresh: bool = False, once: bool = True) -> DataFrame:
+    """DF-7, J-1: frontier rows of the stored sites and, as it runs, of their fresh pages; skip_fresh leaves the pages out. An url that
+    several fresh rows share waits once; without once there is a row for each of them."""
     sites = append_sites(websites.select("url", F.col("crawl_depth").alias("depth"), F.col("id").alias("seq")), websites.limit(0).select(F.col("url").alias("base"), F.col("crawl_depth").alias("depth")), settings)
     rows = sites.select("base", "depth", "url", "seq")
     if skip_fresh:
         return rows
     pages = fresh_pages(webpages, now, settings).select("url", "website_id", "id").join(websites.select(F.col("id").alias("website_id")), "website_id", "left_semi")
-    urls = pages.select(strip_slashes(F.col("url")).alias("url"), F.col("id").alias("seq")).groupBy("url").agg(F.min("seq").alias("seq"))
+    urls = pages.select(strip_slashes(F.col("url")).alias("url"), F.col("id").alias("seq"))
+    if once:
+        urls = urls.groupBy("url").agg(F.min("seq").alias("seq"))
     routed = route(urls, rows).filter("base is not null").join(rows.select(F.col("url").alias("_u")), F.col("url") == F.col("_u"), "left_anti")
     return rows.union(routed.select("base", "depth", "url", "seq"))
 

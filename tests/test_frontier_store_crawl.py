@@ -73,6 +73,15 @@ def test_warm_start(spark):
     assert sorted(r.url for r in frontier.warm_start(sites, pages, now, skip_fresh=True).collect()) == ["http://a.nl", "http://b.nl"]
 
 
+def test_warm_start_of_shared_urls(spark):
+    now = F.lit("2024-02-01 12:00:00").cast("timestamp_ntz")
+    sites = spark.createDataFrame([(1, "http://a.nl", 0)], "id long, url string, crawl_depth int")
+    rows = [(10, 1, "http://a.nl/p"), (11, 1, "http://a.nl/p/"), (12, 1, "http://a.nl/")]
+    pages = spark.createDataFrame(rows, "id long, website_id long, url string").withColumn("crawl_modified", now)
+    each = lambda **k: sorted((r.url, r.seq) for r in frontier.warm_start(sites, pages, now, **k).collect())
+    assert each() == [("http://a.nl", 1), ("http://a.nl/p", 10)] and each(once=False) == [("http://a.nl", 1), ("http://a.nl/p", 10), ("http://a.nl/p", 11)]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "db"))
     s.create()

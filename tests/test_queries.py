@@ -44,7 +44,7 @@ def test_cut_references_like_sql(spark, tmp_path, name):
 SHARED = [(i, f"http://a.nl/{i // 2 % 3}", f"<title>t</title><h1>H</h1><p>p{i // 4}</p><p>q{i}</p>") for i in range(14)]
 
 
-@pytest.mark.parametrize("name", ["stored_paragraphs"])
+@pytest.mark.parametrize("name", ["stored_paragraphs", "warm_start"])
 def test_shared_urls_like_sql(spark, tmp_path, name):
     assert_same(spark, QUERIES[name], ORACLES[name], write_pages(tmp_path, SHARED))
 
