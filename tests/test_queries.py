@@ -35,7 +35,7 @@ def write_pages(folder, rows) -> str:
 CUT = [(i, f"http://a.nl/{i}", f'<html><head><meta charset="utf-8"><title>T &amp;{end}</title></head><body><h1>H &amp;{end}</h1><p>x &lt;y&gt;{end}</p><a href="/b">b</a></body></html>') for i, end in enumerate(("&amp", "&am", "&quo", "&", " &copy;", "&lt"))]
 
 
-@pytest.mark.parametrize("name", ["paragraphs_with_headings", "generic_extract", "head_title"])
+@pytest.mark.parametrize("name", ["paragraphs_with_headings", "generic_extract", "head_title", "stored_pages"])
 def test_cut_references_like_sql(spark, tmp_path, name):
     assert_same(spark, QUERIES[name], ORACLES[name], write_pages(tmp_path, CUT))
 
