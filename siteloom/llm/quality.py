@@ -11,7 +11,7 @@ on the text alone.
 
 Training takes a bounded sample of labelled rows: of those labelled 1 and of those labelled 0 the TRAIN_DOCS each with the smallest
 hash of their id, and of these the first, in the order of the hash, that hold TRAIN_PASSAGES passages together, at least one of each
-label. All passages of a document in the sample are trained on. Everything else runs over all rows; a document's passages are
+label. All passages of a document in the sample are trained on, in one task. Everything else runs over all rows; a document's passages are
 folded as they are read, so a long document costs its own text and no more.
 
 Defined results: null and empty texts are one passage without words and get a score like any other; rows that share an id are
@@ -21,6 +21,7 @@ labels of one kind at all every score is the share of label 1 (0.5 without label
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_names
-from .wordhash import Family, Texts, chunks
+from .wordhash import Family, Texts, chunks, give_back
 
 PASSAGE = 64
 TRAIN_DOCS = 1500
@@ -156,6 +157,16 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(begin)), pa.array(bags, pa.binary())], names=["_id", "_y", "_h", "n", "bag"])
 
 
+def _fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parameters that the bags of all batches give, in the order of their ids."""
+    rows = pa.Table.from_batches(list(it)).sort_by("_id")
+    model = Model()
+    model.fit([np.frombuffer(b.as_buffer(), dtype=np.float16).reshape(-1, FEATURES) for b in rows.column("bag")], rows.column("_y").to_numpy().astype(float))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.p, model.mean, model.scale))], pa.binary())], names=["model"])
+    del rows
+    give_back()
+
+
 def _score(model: Model, text: str, name: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -197,14 +208,14 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if left < 0:
             break
         taken.add(r["_id"])
-    # As Arrow, so that the driver holds the sample once.
-    rows = bags.filter(F.col("_id").isin(sorted(taken))).select("_id", "_y", "bag").toArrow().sort_by("_id")
-    label = rows.column("_y").to_numpy().astype(float)
+    label = [r["_y"] for r in sizes if r["_id"] in taken]
     model = Model()
-    if len(label) and 0 < label.mean() < 1:
-        model.fit([np.frombuffer(b.as_buffer(), dtype=np.float16).reshape(-1, FEATURES) for b in rows.column("bag")], label)
+    if 0 < sum(label) < len(label):
+        # In one task, as the sample is bounded: only the parameters come to the driver.
+        fitted = bags.filter(F.col("_id").isin(sorted(taken))).select("_id", "_y", "bag").coalesce(1).mapInArrow(_fit, "model binary")
+        model.p, model.mean, model.scale = pickle.loads(fitted.first()["model"])
     else:
-        share = float(np.clip(label.mean() if len(label) else 0.5, 1e-6, 1 - 1e-6))
+        share = float(np.clip(np.mean(label) if label else 0.5, 1e-6, 1 - 1e-6))
         model.p = {k: np.zeros(s) for k, s in Model.SHAPES.items()} | {"d": np.log(share / (1 - share))}
     return model
 

@@ -96,3 +96,25 @@ def test_scores_like_plain_loops(spark):
         weight = [math.exp(v) / sum(map(math.exp, scores)) for v in scores]
         bag = [sum(a * h[j] for a, h in zip(weight, hidden, strict=True)) for j in range(quality.HIDDEN)]
         assert abs(sigmoid(sum(a * b for a, b in zip(bag, p["c"].tolist(), strict=True)) + float(p["d"])) - r.score) < 1e-4
+
+
+def test_training_stays_off_the_driver(spark, monkeypatch):
+    """The sample is trained on in a task: the driver neither fetches the bags nor fits, and gets the parameters that fitting them gives."""
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+    def refuse(*_, **__):
+        raise AssertionError("in the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(quality.Model, "fit", refuse)
+        m.setattr(type(df), "toArrow", refuse)
+        got = quality.train(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    truth = {k: y for k, y in labels if k is not None and y is not None and k < len(docs) and zlib.crc32(str(k).encode()) % 3 != 1}
+    text = dict(docs[:400])
+    ids = sorted(truth)
+    bags = [quality.passages(Texts([text[k].encode()]))[1].astype(np.float16) for k in ids]
+    wanted = quality.Model()
+    wanted.fit(bags, np.array([truth[k] for k in ids], dtype=float))
+    assert all(np.allclose(got.p[k], wanted.p[k], atol=1e-3) for k in wanted.p)
+    assert np.allclose(got.mean, wanted.mean) and np.allclose(got.scale, wanted.scale)
